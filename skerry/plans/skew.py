@@ -13,7 +13,7 @@ HOT_SHARE = 1000
 #: Below this many rows a key is never hot: one task takes them with ease.
 HOT_FLOOR = 200_000
 #: Rows that are looked at to find the hot keys of a large table.
-SAMPLE = 500_000
+SAMPLE = 200_000
 
 
 @dataclass
