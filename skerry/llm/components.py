@@ -65,6 +65,11 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> tup
         rounds += 1
         small = s.write(_small_star(e.df, e.rows))
         s.drop(e)
+        if rounds == 1:
+            # chains of raw links are rarely stars after one rewrite
+            e = s.write(_large_star(small.df, small.rows))
+            s.drop(small)
+            continue
         both = _settle(small, s)
         s.drop(small)
         stars = both.df.filter("NOT live").select("hi", "lo")
