@@ -14,11 +14,14 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.runtime import spread
+
 #: Split of the vocabulary's own definition (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -172,7 +175,8 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
     """``doc_id, ids``: every text as token ids, without special tokens (their strings are ordinary text).
 
     Empty and null texts have an empty list; repeated rows and null ids are carried as they are; an empty table gives an
-    empty table; other columns are not read. Texts are never cut. One pass, no shuffle.
+    empty table; other columns are not read. Texts are never cut. One pass; a shuffle only where the table comes in fewer
+    partitions than there are cores.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +190,15 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
                 flat = np.fromiter((i for x in lists for i in x), np.int32, count=int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
-    src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    src = spread(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, out: str = "n_tokens", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """Adds ``out``, the number of tokens of ``text``, in place of the text."""
 
-    @F.pandas_udf("int")
-    def size(texts: "pandas.Series") -> "pandas.Series":  # noqa: F821
+    def size(texts: pd.Series) -> pd.Series:
         enc = Encoder.of(vocabulary)
         return texts.map(lambda t: len(enc.encode(t)) if isinstance(t, str) else 0).astype("int32")
 
-    return df.withColumn(out, size(F.col(text))).drop(text)
+    return spread(df).withColumn(out, F.pandas_udf(size, "int")(F.col(text))).drop(text)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.text import tidy
 from skerry.llm.sentences import sentences, terms
-from skerry.runtime import Scratch
+from skerry.runtime import Scratch, spread
 
 FUNCTIONS = ("seed", "lexicon", "pattern", "section", "address", "source")
 #: Entries a lexicon learned from the corpus may have (the model's size; statistics cover all documents).
@@ -310,10 +310,10 @@ def parsed(documents: DataFrame, s: Scratch) -> DataFrame:
         (F.col("source") if "source" in has else null).alias("source"),
         (F.substring_index(tidy("capture"), "/", 1) if "capture" in has else null).alias("address"),
     )
-    return s.write(src.mapInArrow(_parse, "doc_id bigint, source string, address string, pats array<string>, blocks array<int>")).df
+    return s.write(spread(src).mapInArrow(_parse, "doc_id bigint, source string, address string, pats array<string>, blocks array<int>")).df
 
 
-def fit(docs: DataFrame, examples: DataFrame, subjects: Sequence[str], passes: int = 3, max_terms: int = MAX_TERMS) -> SubjectModel:
+def fit(docs: DataFrame, examples: DataFrame, subjects: Sequence[str], passes: int = 2, max_terms: int = MAX_TERMS) -> SubjectModel:
     """Fits all labelling functions and the latent model on parsed documents (see :func:`parsed`).
 
     The examples are a labelled sample, read up to ``MAX_EXAMPLES`` rows by smallest text hash; a null subject means none,
