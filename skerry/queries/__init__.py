@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("hierarchy", "briefs", "tables")
+MODULES = ("hierarchy", "briefs", "tables", "graphs", "geometry")
 
 
 def queries() -> dict:
