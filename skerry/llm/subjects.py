@@ -141,7 +141,7 @@ def _statistics(seed: dict, lex: Lexicon | None, classes: int):
                 if not total:
                     continue
                 whole = [(k, n / total) for k, n in count.items()]
-                for kind, name in ((2, address), (3, source)):
+                for kind, name in ((2, address), (3, source), (4, "all")):
                     if name:
                         add(kind, name, whole)
                 shares: dict[int, list] = {}
@@ -176,10 +176,10 @@ def _learn(docs: DataFrame, seed: dict, lex: Lexicon | None, classes: int, max_t
     got = docs.mapInArrow(_statistics(seed, lex, classes), "kind int, term string, " + ", ".join(f"{c} double" for c in cols) + ", n double")
     got = s.write(got.groupBy("kind", "term").agg(*[F.sum(c).alias(c) for c in [*cols, "n"]]).filter(f"n >= {MIN_DOCS}")).df
     # bounded: max_terms rows of terms and patterns each, the most frequent first; sets and sources likewise
-    rows = [r for kind in range(4) for r in got.filter(F.col("kind") == kind).orderBy(F.desc("n"), "term").limit(max_terms).collect()]
+    rows = [r for kind in range(5) for r in got.filter(F.col("kind") == kind).orderBy(F.desc("n"), "term").limit(max_terms).collect()]
     base = np.zeros(none)
     for r in rows:
-        if r["kind"] == 3:
+        if r["kind"] == 4:
             base += np.array([r[c] for c in cols])
     base = (base + 1) / (base.sum() + none)
     out = Lexicon()
@@ -188,16 +188,18 @@ def _learn(docs: DataFrame, seed: dict, lex: Lexicon | None, classes: int, max_t
         k = int(share.argmax())
         # a phrase shared by some subjects has close seconds, a term of one subject has not
         odds = share[k] / np.delete(share, k).max()
+        # how much more likely the subject is in this company than in the corpus; fair to rare and to leading subjects
+        lift = share[k] * (1 - base[k]) / max((1 - share[k]) * base[k], 1e-9)
         if r["kind"] == 0:
             # a term marks a subject if its company is that subject much beyond the subject's share of the corpus
-            if share[k] >= 0.33 and share[k] >= 2.2 * base[k] and odds >= 2.5:
+            if share[k] >= 0.33 and lift >= 3 and odds >= 2.5:
                 out.words[r["term"]] = (k, float(math.log(min(odds, 50.0))))
         elif r["kind"] == 1 and r["n"] >= 2 * MIN_DOCS:
-            if share[k] >= 0.42 and share[k] >= 2 * base[k] and odds >= 2:
+            if share[k] >= 0.42 and lift >= 3 and odds >= 2:
                 out.patterns[r["term"]] = k
-            elif share[k] < 0.30:
+            elif share[k] < 0.30 or lift < 1.8:
                 out.patterns[r["term"]] = none
-        elif r["kind"] > 1 and share[k] >= 0.3 and share[k] >= 1.5 * base[k]:
+        elif r["kind"] in (2, 3) and share[k] >= 0.3 and lift >= 2:
             # a set or source of no particular subject abstains
             (out.address if r["kind"] == 2 else out.source)[r["term"]] = k
     return out
