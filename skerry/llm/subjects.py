@@ -19,20 +19,20 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions.text import tidy
 from skerry.llm.sentences import sentences, terms
-from skerry.runtime import Scratch, spread
+from skerry.runtime import Scratch, Written, spread
 
 FUNCTIONS = ("seed", "lexicon", "pattern", "section", "address", "source")
-#: Entries a lexicon learned from the corpus may have (the model's size; statistics cover all documents).
-MAX_TERMS = 300_000
 #: Labelled examples that are read at most.
 MAX_EXAMPLES = 20_000
 #: Documents a term must occur in.
@@ -40,14 +40,52 @@ MIN_DOCS = 4
 ABSTAIN = -1
 
 
-@dataclass
+class Packed:
+    """term -> (class, weight) in arrays sorted by hash, about 40 bytes an entry; the terms themselves are compared."""
+
+    def __init__(self, entries: pa.Table):
+        t = entries.column("term").cast(pa.large_string()).combine_chunks()
+        h = np.concatenate([np.zeros(0, np.int64), *[np.fromiter(map(hash, t.slice(lo, 50_000).to_pylist()), np.int64) for lo in range(0, len(t), 50_000)]])
+        order = np.argsort(h, kind="stable")
+        self.hash, self.term = h[order], t.take(pa.array(order))
+        self.k, self.weight = (entries.column(c).to_numpy()[order] for c in ("k", "weight"))
+
+    def among(self, ts: Sequence[str]) -> dict[str, tuple[int, float]]:
+        """Those of the terms that have an entry."""
+        h = np.fromiter(map(hash, ts), np.int64, len(ts))
+        at, end = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
+        out = {}
+        for x in np.flatnonzero(at < end).tolist():
+            for i in range(at[x], end[x]):
+                if self.term[i].as_py() == ts[x]:
+                    out[ts[x]] = (int(self.k[i]), float(self.weight[i]))
+        return out
+
+    def get(self, term: str, otherwise: int | None = None) -> int | None:
+        return self.among([term]).get(term, (otherwise,))[0]
+
+
+@dataclass(frozen=True)
 class Lexicon:
-    """term -> (class, weight); a pattern may also stand for no subject."""
+    """A learned lexicon of any size: a table in the shared folder that workers read, not the driver.
+
+    Kinds 0 to 3 are words, patterns (which may also stand for no subject), addresses and sources.
+    """
 
-    words: dict[str, tuple[int, float]] = field(default_factory=dict)
-    patterns: dict[str, int] = field(default_factory=dict)
-    address: dict[str, int] = field(default_factory=dict)
-    source: dict[str, int] = field(default_factory=dict)
+    path: str
+
+    def load(self) -> list[Packed]:
+        if self.path not in _loaded:
+            _loaded.clear()
+            fs, at = FileSystem.from_uri(self.path)
+            schema = pa.schema([("kind", pa.int32()), ("term", pa.string()), ("k", pa.int32()), ("weight", pa.float64())])
+            files = pyarrow.dataset.dataset(at, schema=schema, format="parquet", filesystem=fs)
+            _loaded[self.path] = [Packed(files.to_table(["term", "k", "weight"], filter=pyarrow.dataset.field("kind") == kind)) for kind in range(4)]
+        return _loaded[self.path]
+
+
+#: The lexicon that this worker read last.
+_loaded: dict[str, list[Packed]] = {}
 
 
 def seed_lexicon(examples: Sequence[tuple[str, int]], classes: int) -> dict[str, tuple[int, float]]:
@@ -86,25 +124,31 @@ def _vote(ts: Sequence[str], words: dict[str, tuple[int, float]], least: float,
 
 
 class _Reader:
-    """Terms and first vote (the best single opinion so far) of sentence patterns; frequent patterns are read once."""
+    """Terms, first vote (the best single opinion so far) and, once there is a lexicon, the votes of seed, lexicon and
+    pattern on sentence patterns; frequent patterns are read once."""
 
     def __init__(self, seed: dict, lex: Lexicon | None, classes: int):
-        self.seed, self.lex, self.classes = seed, lex, classes
-        self.memo: dict[str, tuple[list[str], int]] = {}
+        self.seed, self.classes = seed, classes
+        if lex is not None:
+            self.words, self.patterns, self.address, self.source = lex.load()
+        self.learned = lex is not None
+        self.memo: dict[str, tuple[list[str], int, tuple[int, ...]]] = {}
 
-    def read(self, pats: list[str]) -> list[tuple[list[str], int]]:
+    def read(self, pats: list[str]) -> list[tuple[list[str], int, tuple[int, ...]]]:
         out = []
         for p in pats:
             got = self.memo.get(p)
             if got is None:
-                t, none = terms(p), self.classes - 1
-                if self.lex is None:
+                t, none, votes = terms(p), self.classes - 1, ()
+                if not self.learned:
                     v = _vote(t, self.seed, 0.8, self.classes, none)
-                elif (v := self.lex.patterns.get(p)) is None:
-                    v = _vote(t, self.lex.words, 0.8, self.classes, none)
+                else:
+                    word, pattern = _vote(t, self.words.among(t), 0.8, self.classes, none), self.patterns.get(p, ABSTAIN)
+                    votes = (_vote(t, self.seed, 0.8, self.classes, ABSTAIN), word, pattern)
+                    v = word if pattern == ABSTAIN else pattern
                 if len(self.memo) >= 100_000:
                     self.memo.clear()
-                got = self.memo[p] = (t, v)
+                got = self.memo[p] = (t, v, votes)
             out.append(got)
         return out
 
@@ -136,7 +180,7 @@ def _statistics(seed: dict, lex: Lexicon | None, classes: int):
         for b in batches:
             for pats, source, address in zip(b.column("pats").to_pylist(), b.column("source").to_pylist(), b.column("address").to_pylist()):
                 read = reader.read(pats)
-                count = Counter(v for _, v in read if v != none)
+                count = Counter(v for _, v, _ in read if v != none)
                 total = sum(count.values())
                 if not total:
                     continue
@@ -146,7 +190,7 @@ def _statistics(seed: dict, lex: Lexicon | None, classes: int):
                         add(kind, name, whole)
                 shares: dict[int, list] = {}
                 done: set = set()
-                for p, (t, v) in zip(pats, read):
+                for p, (t, v, _) in zip(pats, read):
                     if v not in shares:
                         own = v != none
                         if total - own:
@@ -170,60 +214,59 @@ def _statistics(seed: dict, lex: Lexicon | None, classes: int):
     return run
 
 
-def _learn(docs: DataFrame, seed: dict, lex: Lexicon | None, classes: int, max_terms: int, s: Scratch) -> Lexicon:
-    none = classes - 1
+def _marks(got: DataFrame, none: int) -> DataFrame:
+    """``kind, term, k, weight``: the entries that mark a subject (or, of patterns, none), however rare or many."""
     cols = [f"s{i}" for i in range(none)]
+    all_ = got.filter("kind = 4").select(*cols).first()  # one row at most
+    base = np.array(all_ or [0.0] * none)
+    base = [float(b) for b in (base + 1) / (base.sum() + none)]
+    t = got.filter("kind < 4").select("kind", "term", "n", F.array(*[(F.col(c) + 2 * b) / (F.col("n") + 2) for c, b in zip(cols, base)]).alias("shares"))
+    t = t.withColumn("share", F.array_max("shares")).withColumn("k", F.array_position("shares", F.col("share")).cast("int") - 1)
+    # a phrase shared by some subjects has close seconds, a term of one subject has not
+    t = t.withColumn("odds", F.col("share") / F.array_max(F.filter("shares", lambda x, i: i != F.col("k"))))
+    # how much more likely the subject is in this company than in the corpus; fair to rare and to leading subjects
+    own = F.array(*[F.lit(b) for b in base])[F.col("k")]
+    t = t.withColumn("lift", F.col("share") * (1 - own) / F.greatest((1 - F.col("share")) * own, F.lit(1e-9)))
+    # a term marks a subject if its company is that subject much beyond the subject's share of the corpus
+    k = F.when(F.expr("kind = 0 AND share >= 0.33 AND lift >= 3 AND odds >= 2.5"), F.col("k"))
+    k = k.when(F.expr(f"kind = 1 AND n >= {2 * MIN_DOCS} AND share >= 0.42 AND lift >= 3 AND odds >= 2"), F.col("k"))
+    k = k.when(F.expr(f"kind = 1 AND n >= {2 * MIN_DOCS} AND (share < 0.30 OR lift < 1.8)"), F.lit(none))
+    # a set or source of no particular subject abstains
+    k = k.when(F.expr("kind IN (2, 3) AND share >= 0.3 AND lift >= 2"), F.col("k"))
+    return t.select("kind", "term", k.alias("k"), F.log(F.least("odds", F.lit(50.0))).alias("weight")).filter("k IS NOT NULL")
+
+
+def _company(docs: DataFrame, seed: dict, lex: Lexicon | None, classes: int, s: Scratch) -> Written:
+    cols = [f"s{i}" for i in range(classes - 1)]
     got = docs.mapInArrow(_statistics(seed, lex, classes), "kind int, term string, " + ", ".join(f"{c} double" for c in cols) + ", n double")
-    got = s.write(got.groupBy("kind", "term").agg(*[F.sum(c).alias(c) for c in [*cols, "n"]]).filter(f"n >= {MIN_DOCS}")).df
-    # bounded: max_terms rows of terms and patterns each, the most frequent first; sets and sources likewise
-    rows = [r for kind in range(5) for r in got.filter(F.col("kind") == kind).orderBy(F.desc("n"), "term").limit(max_terms).collect()]
-    base = np.zeros(none)
-    for r in rows:
-        if r["kind"] == 4:
-            base += np.array([r[c] for c in cols])
-    base = (base + 1) / (base.sum() + none)
-    out = Lexicon()
-    for r in rows:
-        share = (np.array([r[c] for c in cols]) + 2 * base) / (r["n"] + 2)
-        k = int(share.argmax())
-        # a phrase shared by some subjects has close seconds, a term of one subject has not
-        odds = share[k] / np.delete(share, k).max()
-        # how much more likely the subject is in this company than in the corpus; fair to rare and to leading subjects
-        lift = share[k] * (1 - base[k]) / max((1 - share[k]) * base[k], 1e-9)
-        if r["kind"] == 0:
-            # a term marks a subject if its company is that subject much beyond the subject's share of the corpus
-            if share[k] >= 0.33 and lift >= 3 and odds >= 2.5:
-                out.words[r["term"]] = (k, float(math.log(min(odds, 50.0))))
-        elif r["kind"] == 1 and r["n"] >= 2 * MIN_DOCS:
-            if share[k] >= 0.42 and lift >= 3 and odds >= 2:
-                out.patterns[r["term"]] = k
-            elif share[k] < 0.30 or lift < 1.8:
-                out.patterns[r["term"]] = none
-        elif r["kind"] in (2, 3) and share[k] >= 0.3 and lift >= 2:
-            # a set or source of no particular subject abstains
-            (out.address if r["kind"] == 2 else out.source)[r["term"]] = k
+    return s.write(got.groupBy("kind", "term").agg(*[F.sum(c).alias(c) for c in [*cols, "n"]]).filter(f"n >= {MIN_DOCS}"))
+
+
+def _learn(docs: DataFrame, seed: dict, lex: Lexicon | None, classes: int, s: Scratch) -> Lexicon:
+    got = _company(docs, seed, lex, classes, s)
+    out = Lexicon(s.write(_marks(got.df, classes - 1)).path)
+    s.drop(got)
     return out
 
 
 def _votes(reader: _Reader, pats: list[str], blocks: list[int], source: str | None, address: str | None) -> list[tuple[int, ...]]:
     """The votes of all labelling functions on a document's sentences."""
-    seed, lex, classes = reader.seed, reader.lex, reader.classes
-    none = classes - 1
+    none = reader.classes - 1
     read = reader.read(pats)
     of_block: dict[int, Counter] = defaultdict(Counter)
-    for b, (_, v) in zip(blocks, read):
+    for b, (_, v, _) in zip(blocks, read):
         if v != none:
             of_block[b][v] += 1
-    far = (lex.address.get(address or "", ABSTAIN), lex.source.get(source or "", ABSTAIN))
+    far = (reader.address.get(address or "", ABSTAIN), reader.source.get(source or "", ABSTAIN))
     out = []
-    for p, b, (t, v) in zip(pats, blocks, read):
+    for b, (_, v, votes) in zip(blocks, read):
         near = of_block[b]
         lead, section = 0, ABSTAIN
         for k, n in near.items():
             n -= k == v
             if n > lead or (n == lead and n and k < section):
                 lead, section = n, k
-        out.append((_vote(t, seed, 0.8, classes, ABSTAIN), _vote(t, lex.words, 0.8, classes, none), lex.patterns.get(p, ABSTAIN), section, *far))
+        out.append((*votes, section, *far))
     return out
 
 
@@ -315,11 +358,11 @@ def parsed(documents: DataFrame, s: Scratch) -> DataFrame:
     return s.write(spread(src).mapInArrow(_parse, "doc_id bigint, source string, address string, pats array<string>, blocks array<int>")).df
 
 
-def fit(docs: DataFrame, examples: DataFrame, subjects: Sequence[str], passes: int = 2, max_terms: int = MAX_TERMS) -> SubjectModel:
+def fit(docs: DataFrame, examples: DataFrame, subjects: Sequence[str], passes: int = 2) -> SubjectModel:
     """Fits all labelling functions and the latent model on parsed documents (see :func:`parsed`).
 
     The examples are a labelled sample, read up to ``MAX_EXAMPLES`` rows by smallest text hash; a null subject means none,
-    and examples of subjects that are not in use are left out.
+    and examples of subjects that are not in use are left out. The model's lexicon lasts as long as the session.
     """
     names = sorted(subjects)
     classes = len(names) + 1
@@ -330,10 +373,13 @@ def fit(docs: DataFrame, examples: DataFrame, subjects: Sequence[str], passes: i
     scratch = Scratch(docs.sparkSession)
     lex: Lexicon | None = None
     # a seed term stays if its company in the corpus is its own subject; phrases of all subjects drop out
-    company = _learn(docs, seed, None, classes, max_terms, scratch).words
-    seed = {t: w for t, w in seed.items() if t in company and company[t][0] == w[0]}
+    got = _company(docs, seed, None, classes, scratch)
+    own = docs.sparkSession.createDataFrame([(t, w[0]) for t, w in seed.items()], "term string, k int")
+    kept = {r[0] for r in _marks(got.df, classes - 1).filter("kind = 0").join(own, ["term", "k"]).select("term").collect()}
+    seed = {t: w for t, w in seed.items() if t in kept}
+    scratch.drop(got)
     for _ in range(passes):
-        lex = _learn(docs, seed, lex, classes, max_terms, scratch)
+        lex = _learn(docs, seed, lex, classes, scratch)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()

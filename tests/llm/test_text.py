@@ -117,3 +117,20 @@ def test_subjects_held_out(spark):
     assert right >= 0.93 * len(want), (right, len(want))
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "no sentence here"), (4, "| a | b |")], "doc_id bigint, text string")
     assert assign(parsed(odd, Scratch(spark)), model).count() == 0
+
+
+def test_rare_subject_words_among_many_common(spark):
+    """More common word pairs than any fixed number of lexicon entries: rarer words of a subject still mark it."""
+    marks = {"rock": "basalt gneiss schist", "tide": "ebbing current swell", "cloud": "cirrus nimbus stratus"}
+    filler = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(lo, lo + 400)) + "." for lo in range(0, 160_000, 400)]
+    docs, i = [], 0
+    for name, words in marks.items():
+        docs += [(i + j, "\n".join([f"{words} here.", *filler, f"{words} there."])) for j in range(2)]
+        docs += [(i + 2 + j, f"{words} north.\n{words} south.") for j in range(3)]
+        i += 5
+    examples = [(f"{words} found.", name) for name, words in marks.items()] + [("nothing to see.", None)]
+    d = parsed(spark.createDataFrame(docs, "doc_id bigint, text string"), Scratch(spark))
+    model = fit(d, spark.createDataFrame(examples, "text string, subject string"), list(marks))
+    want = {w: name for name, words in marks.items() for w in words.split()}
+    assert want.items() <= {w: model.subjects[k] for w, (k, _) in model.seed.items()}.items()
+    assert want == {w: model.subjects[k] for w, (k, _) in model.lexicon.load()[0].among(list(want)).items()}
