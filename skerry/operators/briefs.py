@@ -21,6 +21,84 @@ _OUT = pa.schema([("brief_id", pa.int64()), ("entry_path", pa.string()), ("facet
 _OUTER = " \t\r\n\v\f﻿   "
 
 
+def _parse(s: str) -> Any:
+    """JSON of any depth, as the library reads it."""
+    try:
+        return json.loads(s)
+    except RecursionError:
+        pass
+    space, scalar = json.decoder.WHITESPACE.match, json.JSONDecoder().scan_once
+
+    def key(i: int) -> tuple[str, int]:
+        if s[i : i + 1] != '"':
+            raise ValueError("no name")
+        k, i = json.decoder.scanstring(s, i + 1, True)
+        i = space(s, i).end()
+        if s[i : i + 1] != ":":
+            raise ValueError("no colon")
+        return k, space(s, i + 1).end()
+
+    within: list[tuple[Any, str | None]] = []  # open arrays and objects, each with the name that its next value takes
+    i = space(s, 0).end()
+    while True:
+        c = s[i : i + 1]
+        if c in ("[", "{"):
+            v: Any = [] if c == "[" else {}
+            i = space(s, i + 1).end()
+            if s[i : i + 1] != ("]" if c == "[" else "}"):
+                k, i = (None, i) if c == "[" else key(i)
+                within.append((v, k))
+                continue
+            i += 1
+        else:
+            try:
+                v, i = scalar(s, i)
+            except StopIteration:
+                raise ValueError("no value") from None
+        while True:
+            i = space(s, i).end()
+            if not within:
+                if i < len(s):
+                    raise ValueError("more than one value")
+                return v
+            top, k = within.pop()
+            if isinstance(top, list):
+                top.append(v)
+            else:
+                top[k] = v
+            c = s[i : i + 1]
+            if c == ",":
+                i = space(s, i + 1).end()
+                k, i = (None, i) if isinstance(top, list) else key(i)
+                within.append((top, k))
+                break
+            if c != ("]" if isinstance(top, list) else "}"):
+                raise ValueError("not closed")
+            v, i = top, i + 1
+
+
+def _text(v: Any) -> str:
+    """JSON text of a value of any depth, as the library writes it."""
+    try:
+        return json.dumps(v, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out, todo = [], [(v, False)]
+    while todo:
+        x, done = todo.pop()
+        if done:
+            out.append(x)
+        elif x and isinstance(x, (list, dict)):
+            pairs = [(None, y) for y in x] if isinstance(x, list) else list(x.items())
+            todo.append(("]" if isinstance(x, list) else "}", True))
+            for n, (k, y) in reversed(list(enumerate(pairs))):
+                todo.append((y, False))
+                todo.append(((", " if n else "[" if k is None else "{") + ("" if k is None else json.dumps(k, ensure_ascii=False) + ": "), True))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
 def _open(v: Any) -> Any:
     """An array or object that is written as JSON text, as what it is."""
     while isinstance(v, str):
@@ -28,8 +106,8 @@ def _open(v: Any) -> Any:
         if s[:1] not in ("[", "{"):
             return v
         try:
-            v = json.loads(s)
-        except (ValueError, RecursionError):
+            v = _parse(s)
+        except ValueError:
             return v
     return v
 
@@ -57,7 +135,7 @@ def _named(v: Any) -> dict[str, Any]:
 
 def _whole(v: Any) -> str | None:
     """A number as whole number in digits, however it is written or wrapped."""
-    for _ in range(32):
+    while True:
         v = _open(v)
         if isinstance(v, dict):
             v = v.get("value")
@@ -103,15 +181,15 @@ def _entry(path: str, e: dict) -> dict:
     for i, d in enumerate(_several(_named(e.get("series")).get("description"))):
         text = d.get("overall") if isinstance(d, dict) else None
         if text is not None:
-            overall.append({"no": i, "item": text if isinstance(text, str) else json.dumps(text, ensure_ascii=False)})
+            overall.append({"no": i, "item": text if isinstance(text, str) else _text(text)})
     return {"path": path, "groups": _groups(e.get("groups")), "described": [] if number is None else [{"no": 0, "item": number}], "overall": overall}
 
 
 def entries(body: str | None) -> list[dict]:
     """The entries of one brief, in one shape; none for a body that is no complete JSON object."""
     try:
-        top = json.loads((body or "").strip(_OUTER))
-    except (ValueError, RecursionError):
+        top = _parse((body or "").strip(_OUTER))
+    except ValueError:
         return []
     if not isinstance(top, dict):
         return []

@@ -65,6 +65,19 @@ def test_numbers():
     assert all(said(v) == [] for v in (None, "x", {"value": None}, [], {}, 1.5, "nan"))
 
 
+def test_any_depth():
+    n = 20_000
+    body = '{"analysis": {"groups": ["g"], "metrics": {}, "a": [ ]}, "parts": ' * n + '{"analysis": [null, {"groups": ["deep\\n"]}]}' + "}" * n
+    got = entries(body)
+    assert len(got) == n + 1 and got[-1]["path"] == "0/" * n + "1" and got[-1]["groups"] == [{"no": 0, "item": "deep\n"}]
+    for bad in (body[:-1], body + "}", body.replace("[ ]", "[,]"), body.replace("[ ]", "[1 2]")):
+        assert entries(bad) == []
+    wrapped = '{"value": [' * 40 + "7" + "]}" * 40
+    assert entries('{"analysis": {"metrics": {"described": %s}}}' % wrapped)[0]["described"] == [{"no": 0, "item": "7"}]
+    nested = "[" * n + '1, {"a": "\u00e4", "b": []}, {}' + "]" * n
+    assert entries('{"analysis": {"series": {"description": {"overall": %s}}}}' % nested)[0]["overall"] == [{"no": 0, "item": nested}]
+
+
 def test_briefs_against_plain_walk(spark):
     """The whole small table against a row-by-row walk that shares no code with the operator."""
     import pandas as pd
