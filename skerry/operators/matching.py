@@ -100,8 +100,11 @@ def lsh_nearest(df: DataFrame, queries: DataFrame, qid: str, tid: str, vector: s
     """Approximate nearest target of each query by random-projection buckets (JVM expressions), verified by true distance.
 
     Every target is indexed. A bucket that is hot is met by its queries only once per pair; duplicates across tables are
-    dropped before distances are taken.
+    dropped before distances are taken. A query that shares no bucket with another target is searched exactly, by
+    :func:`knn2`; it has no row only if there is no other target.
     """
+    from skerry.runtime import Scratch
+
     dim = len(df.select(vector).filter(F.col(vector).isNotNull()).first()[0])
     rng = np.random.default_rng(seed)
     planes, shift = rng.standard_normal((tables, hashes, dim)), rng.uniform(0, width, (tables, hashes))
@@ -119,7 +122,12 @@ def lsh_nearest(df: DataFrame, queries: DataFrame, qid: str, tid: str, vector: s
     pairs = qb.join(tb, "b").filter("q <> t").select("q", "t").distinct()
     d = F.sqrt(F.aggregate(F.zip_with("qv", "tv", lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x))
     near = pairs.join(q, "q").join(t, "t").select("q", "t", d.alias("d"))
-    best = near.groupBy("q").agg(F.min_by("t", F.struct("d", "t")).alias("t"), F.min("d").alias("d"))
+    best = Scratch(df.sparkSession).write(near.groupBy("q").agg(F.min_by("t", F.struct("d", "t")).alias("t"), F.min("d").alias("d"))).df
+    alone = q.join(best.select("q"), "q", "left_anti").dropDuplicates(["q"]).select(F.col("q").alias("i"), F.col("qv").alias("v"))
+    exact = knn2(alone, t.dropDuplicates(["t"]).select(F.col("t").alias("i"), F.col("tv").alias("v")), "i", "i", "v")
+    # a query that is a target itself has itself among its two nearest, or is as near to both of them
+    other = lambda a, b: F.when(F.col("t1") == F.col("i"), F.col(b)).otherwise(F.col(a))
+    best = best.unionByName(exact.select(F.col("i").alias("q"), other("t1", "t2").alias("t"), other("d1", "d2").alias("d")).filter("t IS NOT NULL"))
     return best.select(F.col("q").alias(qid), F.col("t").alias("nearest"), F.col("d").alias("distance"))
 
 

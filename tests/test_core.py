@@ -187,6 +187,18 @@ def test_knn_and_lsh(spark, monkeypatch):
     assert right >= 0.9 * sum(k % 20 == 0 for k in v)
 
 
+def test_lsh_without_candidates(spark):
+    """Long vectors share no bucket of a narrow width; each query still has its nearest."""
+    v = np.random.default_rng(5).normal(size=(60, 8)) * 1000
+    v[:30:3] = v[1] + np.arange(10)[:, None] * 1e-3  # some do share buckets
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "i bigint, v array<double>")
+    got = {r.i: (r.nearest, r.distance) for r in M.lsh_nearest(d, d, "i", "i", "v", width=1.6).collect()}
+    dist = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)) + np.diag([np.inf] * 60)
+    assert got.keys() == set(range(60)) and all(got[i][1] == pytest.approx(dist[i].min()) for i in got if i >= 30)
+    assert all(got[i][0] == dist[i].argmin() for i in got if i >= 30)
+    assert M.lsh_nearest(d.filter("i = 0"), d.filter("i = 0"), "i", "i", "v", width=1.6).count() == 0
+
+
 def test_constraints(spark):
     d = spark.createDataFrame([(0, math.nan), (4, 2.0)], "id bigint, x double")
     assert K.structural_problems(d, [K.Field("id", "int"), K.Field("y", "float"), K.Field("x", "str"), K.Field("z", "int", True)]) == ["y: missing", "x: double, declared str"]
