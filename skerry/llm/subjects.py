@@ -9,9 +9,12 @@ Each full sentence has one class: a subject, or none (it is about the work itsel
 * ``address``: the subject that leads in documents with the same leading part of their address (here the capture's set);
 * ``source``: the subject that leads in documents of the same source.
 
-Votes are counted over the whole corpus by combination (their number is bounded by the classes, not by the data), and
-expectation-maximisation finds each function's accuracy and the class shares without labels. A document is assigned the
-subjects whose sentences, by posterior, fill at least the wanted share.
+Texts become arrays of word hashes once, in a stored table. Passes over it are array arithmetic on Arrow buffers, one slice of
+documents at a time; sums of terms are merged by Spark. Votes are counted over the whole corpus by combination (their number
+is bounded by the classes, not by the data), and expectation-maximisation finds each function's accuracy and the class shares
+without labels. A document is assigned the subjects whose sentences, by posterior, fill at least the wanted share.
+
+Terms are known by 48 bits of their hash, so among 10^9 terms a few in a million share an entry.
 """
 
 from __future__ import annotations
@@ -23,47 +26,52 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions.text import tidy
-from skerry.llm.sentences import sentences, terms
+from skerry.llm.sentences import BITS, Sentences, hashes, pairs_of, slices, split
+from skerry.operators.nested import list_children
 from skerry.runtime import Scratch, Written, spread
 
 FUNCTIONS = ("seed", "lexicon", "pattern", "section", "address", "source")
 #: Labelled examples that are read at most.
 MAX_EXAMPLES = 20_000
-#: Documents a term must occur in.
+#: Documents that an entry needs before its company says anything: least evidence for one entry, whatever the corpus size.
 MIN_DOCS = 4
 ABSTAIN = -1
-
-
-class Packed:
-    """term -> (class, weight) in arrays sorted by hash, about 40 bytes an entry; the terms themselves are compared."""
-
-    def __init__(self, entries: pa.Table):
-        t = entries.column("term").cast(pa.large_string()).combine_chunks()
-        h = np.concatenate([np.zeros(0, np.int64), *[np.fromiter(map(hash, t.slice(lo, 50_000).to_pylist()), np.int64) for lo in range(0, len(t), 50_000)]])
-        order = np.argsort(h, kind="stable")
-        self.hash, self.term = h[order], t.take(pa.array(order))
-        self.k, self.weight = (entries.column(c).to_numpy()[order] for c in ("k", "weight"))
-
-    def among(self, ts: Sequence[str]) -> dict[str, tuple[int, float]]:
-        """Those of the terms that have an entry."""
-        h = np.fromiter(map(hash, ts), np.int64, len(ts))
-        at, end = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
-        out = {}
-        for x in np.flatnonzero(at < end).tolist():
-            for i in range(at[x], end[x]):
-                if self.term[i].as_py() == ts[x]:
-                    out[ts[x]] = (int(self.k[i]), float(self.weight[i]))
+#: Words and (document, class) cells that one slice of a pass holds at most; a longer document is a slice of its own.
+_WORDS = 2_000_000
+_CELLS = 1 << (64 - BITS)
+
+
+class Marks:
+    """term -> (class, weight): arrays sorted by the term's hash, 13 bytes an entry."""
+
+    def __init__(self, term: np.ndarray, k: np.ndarray, weight: np.ndarray):
+        order = np.argsort(term, kind="stable")
+        self.term, self.k, self.weight = term[order].astype(np.uint64), k[order].astype(np.int8), weight[order].astype(np.float32)
+        # one flag for each value of the low bits tells most unknown terms apart without a search
+        self.low = np.uint64((1 << max(16, min(26, 4 + int(len(term)).bit_length()))) - 1)
+        self.maybe = np.zeros(int(self.low) + 1, bool)
+        self.maybe[self.term & self.low] = True
+
+    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the terms have an entry, and which one."""
+        at = np.flatnonzero(self.maybe[terms & self.low])
+        where = np.searchsorted(self.term, terms[at])
+        hit = self.term[np.minimum(where, len(self.term) - 1)] == terms[at] if len(self.term) else np.zeros(len(at), bool)
+        return at[hit], where[hit]
+
+    def classes(self, terms: np.ndarray) -> np.ndarray:
+        out = np.full(len(terms), ABSTAIN, np.int64)
+        at, where = self.find(terms)
+        out[at] = self.k[where]
         return out
 
-    def get(self, term: str, otherwise: int | None = None) -> int | None:
-        return self.among([term]).get(term, (otherwise,))[0]
-
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -74,34 +82,34 @@ class Lexicon:
 
     path: str
 
-    def load(self) -> list[Packed]:
+    def load(self) -> list[Marks]:
         if self.path not in _loaded:
             _loaded.clear()
             fs, at = FileSystem.from_uri(self.path)
-            schema = pa.schema([("kind", pa.int32()), ("term", pa.string()), ("k", pa.int32()), ("weight", pa.float64())])
+            schema = pa.schema([("kind", pa.int32()), ("term", pa.int64()), ("k", pa.int32()), ("weight", pa.float64())])
             files = pyarrow.dataset.dataset(at, schema=schema, format="parquet", filesystem=fs)
-            _loaded[self.path] = [Packed(files.to_table(["term", "k", "weight"], filter=pyarrow.dataset.field("kind") == kind)) for kind in range(4)]
+            tables = [files.to_table(["term", "k", "weight"], filter=pyarrow.dataset.field("kind") == kind) for kind in range(4)]
+            _loaded[self.path] = [Marks(*(t.column(c).to_numpy() for c in ("term", "k", "weight"))) for t in tables]
         return _loaded[self.path]
 
 
 #: The lexicon that this worker read last.
-_loaded: dict[str, list[Packed]] = {}
+_loaded: dict[str, list[Marks]] = {}
 
 
-def seed_lexicon(examples: Sequence[tuple[str, int]], classes: int) -> dict[str, tuple[int, float]]:
+def seed_lexicon(examples: Sentences, labels: Sequence[int], classes: int) -> Marks:
     """Terms that mark one subject among the labelled examples. ``classes - 1`` stands for none.
 
     Terms of a single example are kept; :func:`fit` checks every term against the corpus before it is used.
     """
     none = classes - 1
-    seen: dict[str, Counter] = defaultdict(Counter)
-    size: Counter = Counter()
-    for text, k in examples:
-        size[k] += 1
-        for t in {t for _, s in sentences(text) for t in terms(s)}:
-            seen[t][k] += 1
-    out = {}
-    for t, by in seen.items():
+    terms, of = _terms(examples.words, examples.length)
+    seen: dict[int, Counter] = defaultdict(Counter)
+    size = Counter(labels)
+    for t, d in {*zip(terms.tolist(), examples.doc[of].tolist())}:
+        seen[t][labels[d]] += 1
+    out = []
+    for t, by in sorted(seen.items()):
         rate = {k: n / size[k] for k, n in by.items()}
         best = max(rate, key=lambda k: (rate[k], -k))
         rest = sum(v for k, v in rate.items() if k != best)
@@ -109,107 +117,117 @@ def seed_lexicon(examples: Sequence[tuple[str, int]], classes: int) -> dict[str,
             continue
         purity = rate[best] / (rate[best] + rest + 0.5 / max(size.values()))
         if purity >= 0.6:
-            out[t] = (best, math.log(purity / (1 - min(purity, 0.98))) + 0.3)
-    return out
+            out.append((t, best, math.log(purity / (1 - min(purity, 0.98))) + 0.3))
+    return Marks(*(np.array([x[i] for x in out], kind) for i, kind in enumerate((np.uint64, np.int8, np.float32))))
 
 
-def _vote(ts: Sequence[str], words: dict[str, tuple[int, float]], least: float, classes: int, blank: int) -> int:
-    score = [0.0] * classes
-    for t in ts:
-        if (w := words.get(t)) is not None:
-            score[w[0]] += w[1]
-    best = max(range(classes), key=score.__getitem__)
-    rival = max((score[k] for k in range(classes) if k != best), default=0.0)
-    return best if score[best] >= least and score[best] > 1.3 * rival else blank
+def _terms(words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and word pairs of sentences, and the sentence of each."""
+    of = np.repeat(np.arange(len(length)), length)
+    same = np.flatnonzero(of[1:] == of[:-1])
+    return np.concatenate([words, pairs_of(words[same], words[same + 1])]), np.concatenate([of, of[same]])
 
 
-class _Reader:
-    """Terms, first vote (the best single opinion so far) and, once there is a lexicon, the votes of seed, lexicon and
-    pattern on sentence patterns; frequent patterns are read once."""
+@dataclass
+class _Slice:
+    """Some documents as arrays: for each sentence its document, block and pattern; terms and the sentence of each."""
+
+    docs: int
+    doc: np.ndarray
+    block: np.ndarray
+    pattern: np.ndarray
+    terms: np.ndarray
+    of: np.ndarray
+    address: np.ndarray
+    source: np.ndarray
+
+
+def _read(b: pa.RecordBatch, classes: int) -> Iterator[tuple[int, _Slice]]:
+    """Slices of a batch of parsed documents, each with its first row."""
+    words, length = b.column("words"), b.column("lens")
+    n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    lo = 0
+    while lo < b.num_rows:
+        hi = lo + 1 + int(np.searchsorted(np.cumsum(n[lo + 1 : lo + _CELLS // classes]) + n[lo], _WORDS, "right"))
+        part = b.slice(lo, hi - lo)
+        col = lambda c: part.column(c).flatten().to_numpy(zero_copy_only=False)
+        _, doc, _ = list_children(part.column("lens"))
+        terms, of = _terms(col("words").view(np.uint64), col("lens"))
+        far = [part.column(c).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("address", "source")]
+        yield lo, _Slice(part.num_rows, doc, col("blocks"), col("pats").view(np.uint64), terms, of, *far)
+        lo = hi
+
+
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort (faster here than hashing)."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
+def _vote(s: _Slice, marks: Marks, classes: int, blank: int, least: float = 0.8) -> np.ndarray:
+    """One vote a sentence by the weights of its marking terms: the best class if it is clearly ahead, else ``blank``."""
+    at, where = marks.find(s.terms)
+    # a term that a sentence repeats counts once
+    once = _distinct(s.of[at] * np.int64(len(marks.term) + 1) + where)
+    sent, where = np.divmod(once, np.int64(len(marks.term) + 1))
+    score = np.bincount(sent * classes + marks.k[where], marks.weight[where], len(s.doc) * classes).reshape(-1, classes)
+    best = score.argmax(1)
+    top = score[np.arange(len(best)), best]
+    score[np.arange(len(best)), best] = 0
+    return np.where((top >= least) & (top > 1.3 * score.max(1, initial=0)), best, blank)
+
+
+def _first_vote(s: _Slice, seed: Marks, lex: list[Marks] | None, classes: int) -> np.ndarray:
+    """The best single opinion so far."""
+    none = classes - 1
+    if lex is None:
+        return _vote(s, seed, classes, none)
+    pattern = lex[1].classes(s.pattern)
+    return np.where(pattern == ABSTAIN, _vote(s, lex[0], classes, none), pattern)
 
-    def __init__(self, seed: dict, lex: Lexicon | None, classes: int):
-        self.seed, self.classes = seed, classes
-        if lex is not None:
-            self.words, self.patterns, self.address, self.source = lex.load()
-        self.learned = lex is not None
-        self.memo: dict[str, tuple[list[str], int, tuple[int, ...]]] = {}
 
-    def read(self, pats: list[str]) -> list[tuple[list[str], int, tuple[int, ...]]]:
-        out = []
-        for p in pats:
-            got = self.memo.get(p)
-            if got is None:
-                t, none, votes = terms(p), self.classes - 1, ()
-                if not self.learned:
-                    v = _vote(t, self.seed, 0.8, self.classes, none)
-                else:
-                    word, pattern = _vote(t, self.words.among(t), 0.8, self.classes, none), self.patterns.get(p, ABSTAIN)
-                    votes = (_vote(t, self.seed, 0.8, self.classes, ABSTAIN), word, pattern)
-                    v = word if pattern == ABSTAIN else pattern
-                if len(self.memo) >= 100_000:
-                    self.memo.clear()
-                got = self.memo[p] = (t, v, votes)
-            out.append(got)
-        return out
+def _sums(key: np.ndarray, cell: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct term the shares of the distinct cells it stands in, summed, and their number."""
+    bits = np.uint64(64 - BITS)
+    both = _distinct((key << bits) | cell.astype(np.uint64))
+    term, cell = both >> bits, (both & np.uint64(_CELLS - 1)).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+    which = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(term))))
+    cols = [np.bincount(which, share[cell, k], len(start)) for k in range(share.shape[1])]
+    return term[start], np.stack([*cols, np.bincount(which, minlength=len(start)).astype(float)], 1) if len(start) else np.zeros((0, share.shape[1] + 1))
 
 
-def _statistics(seed: dict, lex: Lexicon | None, classes: int):
+def _statistics(seed: Marks, lex: Lexicon | None, classes: int):
     """Company of terms and patterns: for each, the subject shares among the other sentences of its documents."""
     none = classes - 1
+    names = ["kind", "term", *[f"s{i}" for i in range(none)], "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple[int, str], list[float]] = {}
-        reader = _Reader(seed, lex, classes)
-
-        def flush() -> pa.RecordBatch:
-            keys = list(acc)
-            sums = np.array([acc[k] for k in keys], dtype=np.float64).reshape(len(keys), none + 1)
-            cols = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string())]
-            out = pa.RecordBatch.from_arrays([*cols, *[pa.array(sums[:, i]) for i in range(none + 1)]], names=["kind", "term", *[f"s{i}" for i in range(none)], "n"])
-            acc.clear()
-            return out
-
-        def add(kind: int, term: str, share: list[float]) -> None:
-            row = acc.get((kind, term))
-            if row is None:
-                row = acc[kind, term] = [0.0] * (none + 1)
-            for k, v in share:
-                row[k] += v
-            row[none] += 1.0
-
+        marks = lex.load() if lex else None
         for b in batches:
-            for pats, source, address in zip(b.column("pats").to_pylist(), b.column("source").to_pylist(), b.column("address").to_pylist()):
-                read = reader.read(pats)
-                count = Counter(v for _, v, _ in read if v != none)
-                total = sum(count.values())
-                if not total:
-                    continue
-                whole = [(k, n / total) for k, n in count.items()]
-                for kind, name in ((2, address), (3, source), (4, "all")):
-                    if name:
-                        add(kind, name, whole)
-                shares: dict[int, list] = {}
-                done: set = set()
-                for p, (t, v, _) in zip(pats, read):
-                    if v not in shares:
-                        own = v != none
-                        if total - own:
-                            shares[v] = [(k, (n - (own and k == v)) / (total - own)) for k, n in count.items() if n - (own and k == v)]
-                        else:
-                            shares[v] = []
-                    if not shares[v]:
-                        continue
-                    if p not in done:
-                        done.add(p)
-                        add(1, p, shares[v])
-                    for x in t:
-                        if (x, v) not in done:
-                            done.add((x, v))
-                            add(0, x, shares[v])
-                if len(acc) > 150_000:
-                    yield flush()
-        if acc:
-            yield flush()
+            for _, s in _read(b, classes):
+                v = _first_vote(s, seed, marks, classes)
+                said = v != none
+                count = np.bincount(s.doc[said] * none + v[said], minlength=s.docs * none).reshape(s.docs, none).astype(float)
+                total = count.sum(1)
+                # cell (document, vote): shares of the document's other sentences
+                own = np.vstack([np.eye(none), np.zeros(none)])
+                rest = count[:, None, :] - own[None]
+                size = rest.sum(2)
+                share = (rest / np.maximum(size, 1)[:, :, None]).reshape(-1, none)
+                cell = s.doc * classes + v
+                ok = size.reshape(-1)[cell] > 0
+                far, some = np.arange(s.docs) * classes + none, total > 0
+                for kind, key, at in (
+                    (0, s.terms[ok[s.of]], cell[s.of][ok[s.of]]),
+                    (1, s.pattern[ok], cell[ok]),
+                    (2, s.address[some & (s.address > 0)], far[some & (s.address > 0)]),
+                    (3, s.source[some & (s.source > 0)], far[some & (s.source > 0)]),
+                    (4, np.ones(some.sum(), np.uint64), far[some]),
+                ):
+                    term, sums = _sums(key, at, share)
+                    if len(term):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), kind, np.int32)), pa.array(term.astype(np.int64)), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(none + 1)]], names=names)
 
     return run
 
@@ -236,38 +254,50 @@ def _marks(got: DataFrame, none: int) -> DataFrame:
     return t.select("kind", "term", k.alias("k"), F.log(F.least("odds", F.lit(50.0))).alias("weight")).filter("k IS NOT NULL")
 
 
-def _company(docs: DataFrame, seed: dict, lex: Lexicon | None, classes: int, s: Scratch) -> Written:
+def _company(docs: DataFrame, seed: Marks, lex: Lexicon | None, classes: int, s: Scratch) -> Written:
     cols = [f"s{i}" for i in range(classes - 1)]
-    got = docs.mapInArrow(_statistics(seed, lex, classes), "kind int, term string, " + ", ".join(f"{c} double" for c in cols) + ", n double")
+    got = docs.mapInArrow(_statistics(seed, lex, classes), "kind int, term bigint, " + ", ".join(f"{c} double" for c in cols) + ", n double")
     return s.write(got.groupBy("kind", "term").agg(*[F.sum(c).alias(c) for c in [*cols, "n"]]).filter(f"n >= {MIN_DOCS}"))
 
 
-def _learn(docs: DataFrame, seed: dict, lex: Lexicon | None, classes: int, s: Scratch) -> Lexicon:
+def _learn(docs: DataFrame, seed: Marks, lex: Lexicon | None, classes: int, s: Scratch) -> Lexicon:
     got = _company(docs, seed, lex, classes, s)
     out = Lexicon(s.write(_marks(got.df, classes - 1)).path)
     s.drop(got)
     return out
 
 
-def _votes(reader: _Reader, pats: list[str], blocks: list[int], source: str | None, address: str | None) -> list[tuple[int, ...]]:
-    """The votes of all labelling functions on a document's sentences."""
-    none = reader.classes - 1
-    read = reader.read(pats)
-    of_block: dict[int, Counter] = defaultdict(Counter)
-    for b, (_, v, _) in zip(blocks, read):
-        if v != none:
-            of_block[b][v] += 1
-    far = (reader.address.get(address or "", ABSTAIN), reader.source.get(source or "", ABSTAIN))
-    out = []
-    for b, (_, v, votes) in zip(blocks, read):
-        near = of_block[b]
-        lead, section = 0, ABSTAIN
-        for k, n in near.items():
-            n -= k == v
-            if n > lead or (n == lead and n and k < section):
-                lead, section = n, k
-        out.append((*votes, section, *far))
-    return out
+def _section(s: _Slice, v: np.ndarray, classes: int) -> np.ndarray:
+    """The subject that leads among the other sentences of a sentence's block, or ABSTAIN."""
+    none = classes - 1
+    _, block = np.unique(s.doc * np.int64(1 << 32) + s.block, return_inverse=True)
+    said = v != none
+    near = np.bincount(block[said] * none + v[said], minlength=(block.max(initial=-1) + 1) * none).reshape(-1, none)[block]
+    near[np.flatnonzero(said), v[said]] -= 1
+    return np.where(near.max(1, initial=0) > 0, near.argmax(1), ABSTAIN)
+
+
+def _votes(s: _Slice, seed: Marks, lex: list[Marks], classes: int) -> np.ndarray:
+    """The votes of all labelling functions on each sentence."""
+    none = classes - 1
+    word, pattern = _vote(s, lex[0], classes, none), lex[1].classes(s.pattern)
+    v = np.where(pattern == ABSTAIN, word, pattern)
+    return np.stack([_vote(s, seed, classes, ABSTAIN), word, pattern, _section(s, v, classes), lex[2].classes(s.address)[s.doc], lex[3].classes(s.source)[s.doc]], 1)
+
+
+def _coded(seed: Marks, lex: Lexicon, classes: int):
+    """Documents with the vote combination of each sentence as one number."""
+    place = (classes + 1) ** np.arange(len(FUNCTIONS), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = lex.load()
+        for b in batches:
+            for lo, s in _read(b, classes):
+                code = (_votes(s, seed, marks, classes) + 1) @ place
+                ends = np.concatenate([[0], np.cumsum(np.bincount(s.doc, minlength=s.docs))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, s.docs), pa.ListArray.from_arrays(pa.array(ends), pa.array(code))], names=["doc_id", "codes"])
+
+    return run
 
 
 @dataclass
@@ -330,23 +360,27 @@ def _table(abstain_s: float, right_s: float, none_s: float, abstain_n: float, ri
 @dataclass
 class SubjectModel:
     subjects: list[str]
-    seed: dict
+    seed: Marks
     lexicon: Lexicon
     latent: LatentModel
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "source", "address", "words", "lens", "pats", "blocks"]
     for b in batches:
-        for lo in range(0, b.num_rows, 1000):
-            part = b.slice(lo, 1000)
-            got = [sentences(t) for t in part.column("text").to_pylist()]
-            pats = pa.array([[s for _, s in g] for g in got], pa.list_(pa.string()))
-            blocks = pa.array([[i for i, _ in g] for g in got], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("address"), pats, blocks], names=["doc_id", "source", "address", "pats", "blocks"])
+        for lo, n in slices(b.column("text")):
+            part = b.slice(lo, n)
+            s = split(part.column("text"))
+            of_doc = np.concatenate([[0], np.cumsum(np.bincount(s.doc, minlength=n))]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(s.length)]).astype(np.int32)[of_doc]
+            lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in ((ends, s.words.astype(np.int64)), (of_doc, s.length), (of_doc, s.pattern.astype(np.int64)), (of_doc, s.block))]
+            far = [pa.array(np.where(part.column(c).is_null().to_numpy(zero_copy_only=False), 0, hashes(part.column(c).fill_null("")).astype(np.int64))) for c in ("source", "address")]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *far, *lists], names=names)
 
 
 def parsed(documents: DataFrame, s: Scratch) -> DataFrame:
-    """Documents as sentence patterns, written once. Needs ``doc_id, text``; ``source, capture`` are used where present."""
+    """Documents as hashes of words and sentence patterns, written once. Needs ``doc_id, text``; ``source, capture`` are used
+    where present."""
     has = set(documents.columns)
     null = F.lit(None).cast("string")
     src = documents.select(
@@ -355,11 +389,12 @@ def parsed(documents: DataFrame, s: Scratch) -> DataFrame:
         (F.col("source") if "source" in has else null).alias("source"),
         (F.substring_index(tidy("capture"), "/", 1) if "capture" in has else null).alias("address"),
     )
-    return s.write(spread(src).mapInArrow(_parse, "doc_id bigint, source string, address string, pats array<string>, blocks array<int>")).df
+    return s.write(spread(src).mapInArrow(_parse, "doc_id bigint, source bigint, address bigint, words array<bigint>, lens array<int>, pats array<bigint>, blocks array<int>")).df
 
 
-def fit(docs: DataFrame, examples: DataFrame, subjects: Sequence[str], passes: int = 2) -> SubjectModel:
-    """Fits all labelling functions and the latent model on parsed documents (see :func:`parsed`).
+def fit(docs: DataFrame, examples: DataFrame, subjects: Sequence[str], passes: int = 2) -> tuple[SubjectModel, DataFrame]:
+    """Fits all labelling functions and the latent model on parsed documents (see :func:`parsed`); returns the model and the
+    documents with the votes on their sentences.
 
     The examples are a labelled sample, read up to ``MAX_EXAMPLES`` rows by smallest text hash; a null subject means none,
     and examples of subjects that are not in use are left out. The model's lexicon lasts as long as the session.
@@ -369,54 +404,51 @@ def fit(docs: DataFrame, examples: DataFrame, subjects: Sequence[str], passes: i
     at = {n: i for i, n in enumerate(names)}
     rows = examples.select("text", "subject").orderBy(F.xxhash64("text")).limit(MAX_EXAMPLES).collect()
     labelled = [(r["text"], at.get(r["subject"], classes - 1)) for r in rows if r["text"] and (r["subject"] is None or r["subject"] in at)]
-    seed = seed_lexicon(labelled, classes)
+    seed = seed_lexicon(split(pa.array([t for t, _ in labelled], pa.string())), [k for _, k in labelled], classes)
     scratch = Scratch(docs.sparkSession)
     lex: Lexicon | None = None
     # a seed term stays if its company in the corpus is its own subject; phrases of all subjects drop out
     got = _company(docs, seed, None, classes, scratch)
-    own = docs.sparkSession.createDataFrame([(t, w[0]) for t, w in seed.items()], "term string, k int")
-    kept = {r[0] for r in _marks(got.df, classes - 1).filter("kind = 0").join(own, ["term", "k"]).select("term").collect()}
-    seed = {t: w for t, w in seed.items() if t in kept}
+    own = docs.sparkSession.createDataFrame(list(zip(seed.term.tolist(), seed.k.tolist())), "term bigint, k int")
+    kept = np.array([r[0] for r in _marks(got.df, classes - 1).filter("kind = 0").join(F.broadcast(own), ["term", "k"]).select("term").collect()], np.uint64)  # terms of the bounded sample
+    stay = np.isin(seed.term, kept)
+    seed = Marks(seed.term[stay], seed.k[stay], seed.weight[stay])
     scratch.drop(got)
     for _ in range(passes):
         lex = _learn(docs, seed, lex, classes, scratch)
+    coded = scratch.write(docs.mapInArrow(_coded(seed, lex, classes), "doc_id bigint, codes array<bigint>")).df
+    # at most (classes + 1) ** 2 * classes ** 2 * sets * sources combinations, however many documents there are
+    got = coded.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
+    votes = decoded(np.array([r["code"] for r in got], dtype=np.int64), classes)
+    return SubjectModel(names, seed, lex, fit_latent(votes, np.array([r["n"] for r in got], dtype=np.float64), classes)), coded
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-        reader = _Reader(seed, lex, classes)
-        for b in batches:
-            for r in zip(*[b.column(c).to_pylist() for c in ("pats", "blocks", "source", "address")]):
-                count.update(_votes(reader, *r))
-        keys = list(count)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int32())), pa.array([count[k] for k in keys], pa.int64())], names=["votes", "n"])
 
-    # at most (classes + 1) ** 2 * classes ** 2 * sets * sources combinations, however many documents there are
-    got = docs.mapInArrow(tally, "votes array<int>, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).collect()
-    votes = np.array([r["votes"] for r in got], dtype=np.int64).reshape(-1, len(FUNCTIONS))
-    counts = np.array([r["n"] for r in got], dtype=np.float64)
-    return SubjectModel(names, seed, lex, fit_latent(votes, counts, classes))
+def decoded(codes: np.ndarray, classes: int) -> np.ndarray:
+    """Vote combinations of their numbers."""
+    return codes[:, None] // (classes + 1) ** np.arange(len(FUNCTIONS), dtype=np.int64) % (classes + 1) - 1
+
+
+def voted(docs: DataFrame, model: SubjectModel) -> DataFrame:
+    """Parsed documents with the model's votes on their sentences."""
+    return docs.mapInArrow(_coded(model.seed, model.lexicon, len(model.subjects) + 1), "doc_id bigint, codes array<bigint>")
 
 
-def assign(docs: DataFrame, model: SubjectModel, share: float = 0.25) -> DataFrame:
+def assign(coded: DataFrame, model: SubjectModel, share: float = 0.25) -> DataFrame:
     """``doc_id, subject, sentences, of``: the subjects of a document that fill ``share`` or more of its full sentences."""
     none = len(model.subjects)
+    names = np.array(model.subjects, dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[int, ...], int] = {}
-        reader = _Reader(model.seed, model.lexicon, none + 1)
         for b in batches:
-            out: list[tuple[int, str, int, int]] = []
-            for d, *r in zip(*[b.column(c).to_pylist() for c in ("doc_id", "pats", "blocks", "source", "address")]):
-                votes = _votes(reader, *r)
-                new = [v for v in dict.fromkeys(votes) if v not in memo]
-                if new:
-                    memo.update(zip(new, model.latent.posterior(np.array(new)).argmax(axis=1).tolist()))
-                count = Counter(memo[v] for v in votes)
-                out += [(d, model.subjects[k], n, len(votes)) for k, n in sorted(count.items()) if k != none and n >= share * len(votes)]
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "subject", "sentences", "of"])
+            codes, doc, _ = list_children(b.column("codes"))
+            known, of = np.unique(codes.to_numpy(zero_copy_only=False), return_inverse=True)
+            k = model.latent.posterior(decoded(known, none + 1)).argmax(1)[of] if len(known) else np.zeros(0, np.int64)
+            count = np.bincount(doc * (none + 1) + k, minlength=b.num_rows * (none + 1)).reshape(-1, none + 1)
+            size = count.sum(1)
+            d, s = np.nonzero((count[:, :none] > 0) & (count[:, :none] >= share * size[:, None]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array(names[s], pa.string()), pa.array(count[d, s].astype(np.int32)), pa.array(size[d].astype(np.int32))], names=["doc_id", "subject", "sentences", "of"])
 
-    return docs.mapInArrow(run, "doc_id bigint, subject string, sentences int, of int")
+    return coded.mapInArrow(run, "doc_id bigint, subject string, sentences int, of int")
 
 
 def subject_areas(documents: DataFrame, examples: DataFrame, subjects: DataFrame, share: float = 0.25) -> DataFrame:
@@ -427,4 +459,5 @@ def subject_areas(documents: DataFrame, examples: DataFrame, subjects: DataFrame
     """
     docs = parsed(documents, Scratch(documents.sparkSession))
     names = [r[0] for r in subjects.select("subject").dropna().distinct().collect()]  # the list of subjects in use
-    return assign(docs, fit(docs, examples, names), share)
+    model, coded = fit(docs, examples, names)
+    return assign(coded, model, share)

@@ -1,14 +1,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skerry.llm.bpe import DEFAULT_VOCABULARY, Encoder, count_tokens, encode_corpus
 from skerry.llm.mixture import budgets, mix
-from skerry.llm.sentences import sentences
-from skerry.llm.subjects import ABSTAIN, assign, fit, fit_latent, parsed
+from skerry.llm.sentences import hashes, pairs_of, slices, split
+from skerry.llm.subjects import ABSTAIN, Marks, _distinct, assign, decoded, fit, fit_latent, parsed, voted
 from skerry.runtime import Scratch, table
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -81,10 +82,36 @@ def test_mixture(spark):
     assert mix(df.limit(0), want, "src", "id", "n")[0].count() == 0
 
 
+def said(*texts):
+    """The sentences of each text."""
+    got = split(pa.array(texts, pa.string()))
+    out = [[] for _ in texts]
+    for d, x in zip(got.doc.tolist(), got.text.to_pylist()):
+        out[d].append(x)
+    assert got.length.sum() == len(got.words) and len(got.pattern) == len(got.block) == len(got.text)
+    return out
+
+
 def test_sentences():
     text = "# Run 3 — a/b  One two three. | a | b |\n| --- | --- |\n```\nratio: 0.5\n```\n10:11:12 Step ok points=5\nnote: The gap is 3.5 px wide.<br>Kind regards\n> > What holds it up? Draft 2.\nno full stop"
-    assert [s for _, s in sentences(text)] == ["one two three.", "the gap is 0 px wide.", "what holds it up?"]
-    assert sentences(None) == [] == sentences("") == sentences("```")
+    assert said(text, None, "", "```", "A &amp; B\u00a0met ``` twice.") == [["one two three.", "the gap is 0 px wide.", "what holds it up?"], [], [], [], ["a & b met ``` twice."]]
+
+
+def test_sentences_of_any_length():
+    """Code blocks, tags, tables, logs and lines have no bound beyond which they would be read as text."""
+    line = "This is code, not a sentence. "
+    code = "```\n" + "\n".join([line] * 1000) + "\n`x` is code too.\n```"
+    tag = "<a href='" + "x. y z w. " * 200 + "'>"
+    log = "10:11:12 Step ok" + " points=5" * 5000
+    assert said(f"{code}\nAll is well here.", f"Here {tag}is a link now.", "|" + " It is a cell. |" * 5000 + "\nNo cell is here.", log + "\nThe log is over.", line * 20_000) == [
+        ["all is well here."], ["here is a link now."], ["no cell is here."], ["the log is over."], [line.strip().lower()] * 20_000]
+
+
+def test_slices():
+    t = pa.array(["x" * (9 << 20), None, "y" * (40 << 20), "", "z"])
+    got = slices(t)
+    assert [a for a, _ in got] == np.cumsum([0, *(n for _, n in got)])[:-1].tolist() and sum(n for _, n in got) == 5 and len(got) > 1
+    assert slices(t.slice(0, 0)) == []
 
 
 def test_latent_model_learns_accuracy():
@@ -108,15 +135,16 @@ def test_subjects_held_out(spark):
     held = ex.filter("example_id % 3 = 0")
     model_docs = parsed(docs.select("doc_id", "text"), Scratch(spark))
     subjects = [r[0] for r in table(spark, SF, "subjects").collect()]
-    model = fit(model_docs, ex.filter("example_id % 3 <> 0"), subjects)
+    model, _ = fit(model_docs, ex.filter("example_id % 3 <> 0"), subjects)
     said = {}
-    for r in assign(parsed(held.selectExpr("example_id AS doc_id", "text"), Scratch(spark)), model).collect():
+    for r in assign(voted(parsed(held.selectExpr("example_id AS doc_id", "text"), Scratch(spark)), model), model).collect():
         said.setdefault(r.doc_id, set()).add(r.subject)
     want = {r.example_id: {r.subject} - {None} for r in held.collect()}
     right = sum(said.get(i, set()) == w for i, w in want.items())
     assert right >= 0.93 * len(want), (right, len(want))
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "no sentence here"), (4, "| a | b |")], "doc_id bigint, text string")
-    assert assign(parsed(odd, Scratch(spark)), model).count() == 0
+    assert assign(voted(parsed(odd, Scratch(spark)), model), model).count() == 0
+    assert voted(parsed(odd.limit(0), Scratch(spark)), model).count() == 0
 
 
 def test_rare_subject_words_among_many_common(spark):
@@ -130,7 +158,21 @@ def test_rare_subject_words_among_many_common(spark):
         i += 5
     examples = [(f"{words} found.", name) for name, words in marks.items()] + [("nothing to see.", None)]
     d = parsed(spark.createDataFrame(docs, "doc_id bigint, text string"), Scratch(spark))
-    model = fit(d, spark.createDataFrame(examples, "text string, subject string"), list(marks))
-    want = {w: name for name, words in marks.items() for w in words.split()}
-    assert want.items() <= {w: model.subjects[k] for w, (k, _) in model.seed.items()}.items()
-    assert want == {w: model.subjects[k] for w, (k, _) in model.lexicon.load()[0].among(list(want)).items()}
+    model, _ = fit(d, spark.createDataFrame(examples, "text string, subject string"), list(marks))
+    words = [w for ws in marks.values() for w in ws.split()]
+    want = [model.subjects.index(name) for name, ws in marks.items() for _ in ws.split()]
+    ids = hashes(pa.array(words))
+    assert model.seed.classes(ids).tolist() == want == model.lexicon.load()[0].classes(ids).tolist()
+
+
+def test_marks_and_hashes():
+    rng = np.random.default_rng(2)
+    term = _distinct(rng.integers(0, 1 << 48, 5000).astype(np.uint64))
+    m = Marks(term[::2], np.arange(len(term[::2])) % 7, np.ones(len(term[::2])))
+    got = m.classes(term)
+    assert (got[::2] == np.arange(len(term[::2])) % 7).all() and (got[1::2] == ABSTAIN).all()
+    assert Marks(term[:0], term[:0], term[:0]).classes(term).max() == ABSTAIN
+    h = hashes(pa.array(["a", "b", "a", ""]))
+    assert h[0] == h[2] != h[1] and hashes(pa.array(["b"]))[0] == h[1] and (h < 1 << 48).all()
+    assert pairs_of(h[:1], h[1:2]) != pairs_of(h[1:2], h[:1]) and len(hashes(pa.array([], pa.string()))) == 0
+    assert decoded(np.array([0, 1 + 12 * 3]), 11).tolist() == [[-1] * 6, [0, 2, -1, -1, -1, -1]]
