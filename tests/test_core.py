@@ -18,7 +18,7 @@ from skerry.operators import matching as M
 from skerry.operators import selection as S
 from skerry.plans.engine import Engine, Operator, Param, TypeSpec
 from skerry.plans.prefix import dense_ids, running_totals
-from skerry.plans.skew import hot_keys, latest, skew_join
+from skerry.plans.skew import hot_keys, latest, salted, skew_join
 from skerry.runtime import Scratch
 from skerry.sources import files
 from skerry.streaming.events import windowed_counts
@@ -42,14 +42,24 @@ def test_running_totals_cross_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_skew_join_equals_join(spark):
-    data = [(0, i) for i in range(400)] + [(i % 20 + 1, i) for i in range(100)] + [(None, 1)]
-    t = Scratch(spark).write(spark.createDataFrame(data, "k int, v int"))
-    dims = spark.createDataFrame([(i, f"d{i}") for i in range(0, 30, 2)], "k int, name string")
-    hot = hot_keys(t.df, ["k"], t.rows, floor=50, share=5)
+@pytest.mark.parametrize("name", ["'d' || id", "id * 2"])
+def test_skew_join_equals_join(spark, name):
+    """Dims with a text are split by salt, narrow ones broadcast; both equal the plain join, with repeated rows."""
+    data = [(0, 7)] * 100 + [(0, i) for i in range(300)] + [(i % 20 + 1, i) for i in range(100)] + [(None, 1)]
+    t = Scratch(spark).write(spark.createDataFrame(data, "k int, v int").repartition(3))
+    dims = spark.range(0, 30, 2).selectExpr("int(id) AS k", f"{name} AS name")
+    hot = hot_keys(t.df, ["k"], t.rows, floor=50, share=50)
     assert [c[0] for c in hot.counts] == [0]
     for how in ("inner", "left"):
         assert rows(skew_join(t.df, dims, ["k"], how, hot)) == rows(t.df.join(dims, "k", how))
+    assert salted(t.df, ["k"], hot).groupBy("_salt").count().count() > 5
+
+
+def test_hot_keys_by_sample(spark):
+    """Of a table with many keys at the limit each is found, and few others."""
+    n = spark.range(2_000_000).select(F.when(F.col("id") < 1_600_000, F.col("id") % 40).otherwise(F.col("id")).alias("k"))
+    hot = hot_keys(n, ["k"], 2_000_000, floor=20_000)
+    assert sorted(k for k, _ in hot.counts) == list(range(40)) and all(32_000 < c < 48_000 for _, c in hot.counts)
 
 
 def test_latest(spark):
