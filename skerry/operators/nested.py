@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from skerry.runtime import Scratch
+
 
 def list_children(arr: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Elements of a list array, the row each belongs to, and its position there. Null and empty lists have none."""
@@ -69,7 +71,7 @@ def flatten(df: DataFrame, keys: Sequence[str], column: str) -> dict[str, DataFr
 
     A table has the key columns, one position column for each list on the way (``at_1``, ``at_2``, ...), and the scalar
     fields of its elements under ``v_`` and their path. (keys, all positions but the last) is the parent's key, so the
-    tables join back to each other.
+    tables join back to each other. All tables are written in one pass over the source, into the shared folder.
 
     Defined cases: null or empty lists and absent structs have no rows; a null element keeps its position and has a row of
     nulls; an empty table gives empty tables; the prefixes keep field names from clashing with key names, and columns
@@ -77,33 +79,47 @@ def flatten(df: DataFrame, keys: Sequence[str], column: str) -> dict[str, DataFr
     """
     keys = list(keys)
     dt = df.schema[column].dataType
-    out: dict[str, DataFrame] = {}
-    for path in list_paths(dt):
-        end = _type_at(dt, path)
-        fields = _flat_fields(end)
-        depth = sum(p == "[]" for p in path)
-        schema = T.StructType(
-            [df.schema[k] for k in keys]
-            + [T.StructField(f"at_{i + 1}", T.IntegerType()) for i in range(depth)]
-            + [T.StructField("v" + "".join(f"_{x}" for x in f), t) for f, t in fields]
-        )
-        name = "".join(("." if p != "[]" and i else "") + p for i, p in enumerate(path))
-        out[name] = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(column).alias("_c")).mapInArrow(_emitter(path, [f for f, _ in fields], len(keys), schema), schema)
+    lists = []
+    for i, path in enumerate(list_paths(dt)):
+        fields = _flat_fields(_type_at(dt, path))
+        kind = T.StructType([T.StructField("v" + "".join(f"_{x}" for x in f), t) for f, t in fields] or [T.StructField("v", T.BooleanType())])
+        lists.append((f"t{i}", path, [f for f, _ in fields], kind))
+    if not lists:
+        return {}
+    schema = T.StructType(
+        [T.StructField("_list", T.StringType())]
+        + [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
+        + [T.StructField("_at", T.ArrayType(T.IntegerType()))]
+        + [T.StructField(n, k) for n, _, _, k in lists]
+    )
+    src = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(column).alias("_c"))
+    got = Scratch(df.sparkSession).write(src.mapInArrow(_emitter([x[:3] for x in lists], len(keys), schema), schema), by=["_list"]).df
+    out = {}
+    for n, path, fields, kind in lists:
+        at = [F.col("_at")[i].alias(f"at_{i + 1}") for i in range(sum(p == "[]" for p in path))]
+        own = got.filter(F.col("_list") == n).select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *at, *([f"{n}.{f.name}" for f in kind.fields] if fields else []))
+        out["".join(("." if p != "[]" and i else "") + p for i, p in enumerate(path))] = own
     return out
 
 
-def _emitter(path: Sequence[str], fields: Sequence[tuple[str, ...]], n_keys: int, schema: T.StructType) -> Callable:
+def _emitter(lists: Sequence[tuple[str, Sequence[str], Sequence[tuple[str, ...]]]], n_keys: int, schema: T.StructType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(schema)
         for b in batches:
-            values, rows, at = descend(b.column(n_keys), path)
-            idx = pa.array(rows)
-            cols = [b.column(i).take(idx) for i in range(n_keys)] + [pa.array(x.astype(np.int32)) for x in at]
-            for f in fields:
-                v = values
-                for name in f:
-                    v = pc.struct_field(v, name)
-                cols.append(v)
-            yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(cols, target)], schema=target)
+            for name, path, fields in lists:
+                values, rows, at = descend(b.column(n_keys), path)
+                idx = pa.array(rows)
+                cols = {"_list": pa.array([name] * len(rows), pa.string())} | {f"_k{i}": b.column(i).take(idx) for i in range(n_keys)}
+                places = np.stack(at, 1).astype(np.int32)
+                cols["_at"] = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * places.shape[1]), pa.array(places.ravel()))
+                own = []
+                for f in fields:
+                    v = values
+                    for step in f:
+                        v = pc.struct_field(v, step)
+                    own.append(v)
+                kind = target.field(name).type
+                cols[name] = pa.StructArray.from_arrays([v.cast(t.type) for v, t in zip(own, kind)], fields=list(kind)) if own else pa.nulls(len(rows), kind)
+                yield pa.RecordBatch.from_arrays([(cols[t.name] if t.name in cols else pa.nulls(len(rows), t.type)).cast(t.type) for t in target], schema=target)
 
     return run

@@ -12,6 +12,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,9 +77,9 @@ class Scratch:
         self.spark = spark
         self.root = shared_dir(spark)
 
-    def write(self, df: DataFrame) -> Written:
+    def write(self, df: DataFrame, by: Sequence[str] = ()) -> Written:
         path = f"{self.root}/t-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)

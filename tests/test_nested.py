@@ -1,6 +1,10 @@
 import json
+import random
 
-from skerry.operators.briefs import brief_facets, entries
+import pyarrow as pa
+
+from skerry.operators import jsontree as J
+from skerry.operators.briefs import _rows, brief_facets
 from skerry.operators.nested import flatten
 
 
@@ -59,23 +63,87 @@ def test_shapes(spark):
     assert brief_facets(df.limit(0)).count() == 0
 
 
+def said(*bodies):
+    """(entry_path, facet, item_no, item) of each body."""
+    out = [[] for _ in bodies]
+    for b in _rows(iter([pa.RecordBatch.from_arrays([pa.array(range(len(bodies)), pa.int64()), pa.array(bodies, pa.string())], names=["i", "b"])])):
+        for i, *r in zip(*[c.to_pylist() for c in b.columns]):
+            out[i].append(tuple(r))
+    return out
+
+
 def test_numbers():
-    said = lambda v: [x["item"] for x in entries(json.dumps({"analysis": {"metrics": {"described": v}}}))[0]["described"]]
-    assert [said(v) for v in (1, 1.0, "1", "1.0", True, False, " 3 ", {"value": "0"}, [2])] == [["1"], ["1"], ["1"], ["1"], ["1"], ["0"], ["3"], ["0"], ["2"]]
-    assert all(said(v) == [] for v in (None, "x", {"value": None}, [], {}, 1.5, "nan"))
+    said_of = lambda vs: [[x[3] for x in r] for r in said(*[json.dumps({"analysis": {"metrics": {"described": v}}}) for v in vs])]
+    assert said_of([1, 1.0, "1", "1.0", True, False, " 3 ", {"value": "0"}, [2], '{"value": [4]}', 10**30, 1e3]) == [["1"], ["1"], ["1"], ["1"], ["1"], ["0"], ["3"], ["0"], ["2"], ["4"], [str(10**30)], ["1000"]]
+    assert said_of([None, "x", {"value": None}, [], {}, 1.5, "nan", float("nan")]) == [[]] * 8
+
+
+def test_odd_shapes():
+    e = lambda x: json.dumps({"analysis": x})
+    got = said(
+        e({"groups": {"a": 1, "b": None, "a\n": 2}}), e({"groups": {"name": "n", "x": 1}}), e({"groups": [1, True, 2.50, ["z"], {"name": None}, "[no", "[1]"]}),
+        e({"metrics": [["described", 2], {"name": "described", "value": 3}, {"described": 4}]}), e({"metrics": [{"described": 4}, ["other", 1]]}),
+        e({"series": {"description": {"overall": [1, {"a": "b"}]}}}), json.dumps({"brief": json.dumps({"brief": {"analysis": [{"groups": "in"}]}})}),
+        '{"analysis": {"groups": "first"}, "analysis": {"groups": "last"}}', '{"brief": 1, "analysis": {"groups": "g"}}', '{"parts": [null, {"analysis": []}, {"analysis": [{"groups": ["p"]}]}]}',
+    )
+    g = lambda *xs: [("0", "groups", i, x) for i, x in xs]
+    assert got == [
+        g((0, "a"), (1, "b"), (2, "a\n")), g((0, "n")), g((0, "1"), (1, "true"), (2, "2.5"), (5, "[no")), [("0", "described", 0, "4")], [("0", "described", 0, "4")],
+        [("0", "overall", 0, '[1, {"a": "b"}]')], g((0, "in")), g((0, "last")), g((0, "g")), [("2/0", "groups", 0, "p")]]
 
 
 def test_any_depth():
-    n = 20_000
+    n = 3000
     body = '{"analysis": {"groups": ["g"], "metrics": {}, "a": [ ]}, "parts": ' * n + '{"analysis": [null, {"groups": ["deep\\n"]}]}' + "}" * n
-    got = entries(body)
-    assert len(got) == n + 1 and got[-1]["path"] == "0/" * n + "1" and got[-1]["groups"] == [{"no": 0, "item": "deep\n"}]
-    for bad in (body[:-1], body + "}", body.replace("[ ]", "[,]"), body.replace("[ ]", "[1 2]")):
-        assert entries(bad) == []
-    wrapped = '{"value": [' * 40 + "7" + "]}" * 40
-    assert entries('{"analysis": {"metrics": {"described": %s}}}' % wrapped)[0]["described"] == [{"no": 0, "item": "7"}]
-    nested = "[" * n + '1, {"a": "\u00e4", "b": []}, {}' + "]" * n
-    assert entries('{"analysis": {"series": {"description": {"overall": %s}}}}' % nested)[0]["overall"] == [{"no": 0, "item": nested}]
+    got = said(body)[0]
+    assert len(got) == n + 1 and max(got, key=lambda r: len(r[0])) == ("0/" * n + "1", "groups", 0, "deep\n")
+    assert said(body[:-1], body + "}", body.replace("[ ]", "[,]"), body.replace("[ ]", "[1 2]")) == [[]] * 4
+    wrapped = '{"value": [' * 500 + "7" + "]}" * 500
+    text = "7"
+    for _ in range(12):  # text in text in text
+        text = json.dumps([text])
+    assert said('{"analysis": {"metrics": {"described": %s}}}' % wrapped, json.dumps({"analysis": {"metrics": {"described": text}}})) == [[("0", "described", 0, "7")]] * 2
+    deep = "[" * 50_000 + '1, {"a": "\u00e4", "b": []}, {}' + "]" * 50_000
+    assert said('{"analysis": {"series": {"description": {"overall": %s}}}}' % deep) == [[("0", "overall", 0, deep)]]
+
+
+def built(t, i):
+    kids = [built(t, c) for c in t.child[t.first[i] : t.first[i + 1]]]
+    if t.kind[i] == J.OBJECT:
+        return dict(zip([t.name[int(c)].as_py() for c in t.child[t.first[i] : t.first[i + 1]]], kids))
+    text = t.text[int(i)].as_py()
+    return kids if t.kind[i] == J.ARRAY else text if t.kind[i] == J.STRING else json.loads(text)
+
+
+def test_json_equals_library():
+    """Random texts, whole and broken, read together as the standard library reads each."""
+    rnd = random.Random(1)
+
+    def value(d):
+        r = rnd.random()
+        if d <= 0 or r < 0.35:
+            return rnd.choice([None, True, False, 1, -2.5, 1e9, "", 'a"b\\', "\n\t{[,:]}", "ä€😀", "[1]", "\\\\"])
+        return [value(d - 1) for _ in range(rnd.randrange(4))] if r < 0.65 else {rnd.choice(["a", 'b"', "c", "", "name"]): value(d - 1) for _ in range(rnd.randrange(4))}
+
+    texts = [None, "", "  ", "{", "}", "[]]", "[[]", "{}{}", "1 2", "[1,]", "[,1]", '{"a"}', '{"a":}', '{"a":1,}', "{,}", "{1:2}", '"a" "b"', "]", "[}", "{]", "01", "1.", "nul", '"\x01"', '"\\x"', '"\\', '"a"', "[NaN, -Infinity]", '\ufeff {"a": 1} \n']
+    for _ in range(3000):
+        s = json.dumps(value(5), ensure_ascii=rnd.random() < 0.5, indent=rnd.choice([None, None, 1]))
+        if (m := rnd.random()) < 0.5:
+            i = rnd.randrange(len(s) + 1)
+            s = s[:i] if m < 0.2 else s[:i] + rnd.choice('{}[]:,"\\ 0at.') + s[i:] if m < 0.35 else s[:i] + s[i + 1 :]
+        texts.append(s)
+    tree = J.parse(pa.array(texts))
+    sound = 0
+    for s, r in zip(texts, tree.root):
+        try:
+            want = [json.loads((s or "").strip(J.OUTER))]
+        except ValueError:
+            want = []
+        if len({(s or "").count(x) for x in ("\\ud83d", "\\ude00", "\\ud83d\\ude00")}) == 1:  # no pair has been cut apart
+            assert json.dumps([built(tree, int(r))] if r >= 0 else []) == json.dumps(want), s
+        sound += bool(want)
+    assert 1000 < sound < 2900
+    assert len(J.parse(pa.array([], pa.string())).root) == 0 and J.parse(pa.array(['"\\ud800x"'])).text.to_pylist() == ["\ufffdx"]
 
 
 def test_briefs_against_plain_walk(spark):
