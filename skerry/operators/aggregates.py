@@ -1,17 +1,17 @@
-"""Grouped statistics. Order statistics are exact and never gather a group: equal values are counted first, and running
-totals over range partitions give ranks (see :mod:`skerry.plans.prefix`)."""
+"""Grouped statistics. Order statistics are exact: groups that one task can sort are sorted (which spills), those beyond the hot
+bound are bisected by counts or, where every row needs its rank, ranked by running totals over range partitions."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.plans.prefix import running_totals
-from skerry.plans.skew import hot_keys, skew_join
-from skerry.runtime import Scratch
+from skerry.plans.skew import HOT_FLOOR, HotKeys, hot_keys, skew_join
+from skerry.runtime import Scratch, Written
 
 
 def zero_filled_counts(df: DataFrame, domain: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
@@ -47,50 +47,120 @@ def coverage(df: DataFrame, keys: Sequence[str], x: Column, y: Column, width: Co
     return zero_filled_counts(at, domain, keys, "_n").select(*keys, (F.col("_n") / (cells * cells)).alias("coverage"))
 
 
-def _counted(df: DataFrame, group: Sequence[str], value: str, weight: str | None, s: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """(group, value, w, before) over distinct values, and (group, total)."""
-    group = list(group)
-    src = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*group, F.col(value).cast("double").alias("v"), (F.col(weight) if weight else F.lit(1)).alias("w"))
-    counted = src.groupBy(*group, "v").agg(F.sum("w").alias("w"))
-    t, stored = running_totals(counted, group, ["v"], "w", "before", s)
-    total = stored.df.groupBy(*group).agg(F.sum("w").alias("total"))
-    return t, total, stored.rows
+def _values(df: DataFrame, group: Sequence[str], value: str, weight: str | None) -> DataFrame:
+    """(group, v, w) without null and NaN values."""
+    return df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*group, F.col(value).cast("double").alias("v"), (F.col(weight) if weight else F.lit(1)).alias("w"))
 
 
-def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, wanted: dict[str, float], weight: str | None = None) -> DataFrame:
+def _apart(t: Written, group: list[str], hot_floor: int) -> tuple[DataFrame, DataFrame | None, HotKeys]:
+    """Rows of ordinary and of hot groups."""
+    hot = hot_keys(t.df, group, t.rows, floor=hot_floor) if group else HotKeys(None, [], [])
+    if not hot:
+        return t.df, None, hot
+    key = hot.df.select(*group)
+    return t.df.join(key, group, "left_anti"), t.df.join(key, group, "left_semi"), hot
+
+
+def _sorted(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Adds ``before``, the weight of smaller rows of the group (equal values in any order), and ``total``."""
+    w = Window.partitionBy(*group)
+    before = F.sum("w").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("total", F.sum("w").over(w))
+
+
+#: Parts that an interval of a hot group is cut into in each round, and rows of an interval that are sorted at last.
+PARTS, LEFT = 1024, 20_000
+
+
+def _bisected(rows: DataFrame, group: list[str], targets: DataFrame, s: Scratch) -> DataFrame:
+    """(group, target, v): the smallest value at which the running weight of the group passes ``rank``.
+
+    ``targets`` has (group, target, rank) and some rows per hot group. Each round counts, for all groups and targets at once,
+    the weight in equal parts of each target's interval (map-side combined), and goes on in the part that holds the
+    rank, drawn in to the values that occur there. Nothing is sorted or copied; what is left of an interval when it has few
+    rows is sorted.
+    """
+    bounds = [F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")]
+    state = s.write(targets.join(rows.groupBy(*group).agg(*bounds), group)).df
+    done: list[DataFrame] = []
+    while True:
+        done.append(state.filter("lo = hi").select(*group, "target", F.col("lo").alias("v")))
+        live = state.filter("lo < hi")
+        wide = live.filter(F.col("n") > LEFT)
+        few = F.broadcast(live.filter(F.col("n") <= LEFT).groupBy(*group).agg(F.collect_list(F.struct("target", "rank", "lo", "hi")).alias("ts")))  # hot groups
+        inside = lambda t: F.explode(F.filter("ts", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"]))).alias("t")
+        last = rows.join(few, group).select(*group, "v", "w", inside(few)).select(*group, "v", "w", "t.target", "t.rank")
+        upto = F.sum("w").over(Window.partitionBy(*group, "target").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # LEFT rows at most
+        done.append(last.withColumn("upto", upto).filter("upto > rank").groupBy(*group, "target").agg(F.min("v").alias("v")))
+        if wide.isEmpty():
+            break
+        many = F.broadcast(wide.groupBy(*group).agg(F.collect_list(F.struct("target", "rank", "lo", "hi")).alias("ts")))  # hot groups
+        part = F.least(F.floor((F.col("v") / 2 - F.col("t.lo") / 2) / (F.col("t.hi") / 2 - F.col("t.lo") / 2) * PARTS), F.lit(PARTS - 1)).cast("int")
+        count = rows.join(many, group).select(*group, "v", "w", inside(many)).groupBy(*group, "t.target", "t.rank", part.alias("part")).agg(F.sum("w").alias("w"), *bounds)
+        under = F.coalesce(F.sum("w").over(Window.partitionBy(*group, "target").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # PARTS rows at most
+        state = s.write(count.withColumn("under", under).filter("under <= rank AND under + w > rank").select(*group, "target", (F.col("rank") - F.col("under")).alias("rank"), "lo", "hi", "n")).df
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def _position(p: float) -> Column:
+    return F.lit(p) * (F.col("total") - 1)
+
+
+def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, wanted: dict[str, float], weight: str | None = None, hot_floor: int = HOT_FLOOR) -> DataFrame:
     """Exact percentiles with linear interpolation, one column for each entry of ``wanted``. Nulls and NaN do not count.
 
-    ``weight`` names a column of repeat counts. Groups without values have no row.
+    ``weight`` names a column of repeat counts. Groups without values have no row; a null key is no group.
     """
     s, group = Scratch(df.sparkSession), list(group)
-    t, total, rows = _counted(df, group, value, weight, s)
-    t = s.write(t)
-    j = skew_join(t.df, total, group, "inner", hot_keys(t.df, group, t.rows))
+    t = s.keep(_values(df.dropna(subset=group), group, value, weight))
+    cold, hot_rows, hot = _apart(t, group, hot_floor)
     aggs, outs = [], []
     for i, (name, p) in enumerate(wanted.items()):
-        pos = F.lit(p) * (F.col("total") - 1)
+        pos = _position(p)
         aggs += [F.max(F.when(F.col("before") <= F.floor(pos), F.col("v"))).alias(f"_l{i}"), F.max(F.when(F.col("before") <= F.ceil(pos), F.col("v"))).alias(f"_h{i}"), F.max(pos - F.floor(pos)).alias(f"_f{i}")]
         outs.append((F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(name))
-    return j.groupBy(*group).agg(*aggs).select(*group, *outs)
+    out = _sorted(cold, group).groupBy(*group).agg(*aggs)
+    if hot_rows is not None:
+        total = s.write(hot_rows.groupBy(*group).agg(F.sum("w").alias("total"))).df
+        ranks = [F.struct(F.lit(2 * i + k).alias("target"), f(_position(p)).cast("bigint").alias("rank")) for i, p in enumerate(wanted.values()) for k, f in enumerate((F.floor, F.ceil))]
+        found = _bisected(hot_rows, group, total.select(*group, F.explode(F.array(*ranks)).alias("t")).select(*group, "t.*"), s)
+        picked = [F.max(F.when(F.col("target") == 2 * i + k, F.col("v"))).alias(f"_{n}{i}") for i in range(len(wanted)) for k, n in enumerate("lh")]
+        wide = found.groupBy(*group).agg(*picked).join(total, group).withColumns({f"_f{i}": _position(p) - F.floor(_position(p)) for i, p in enumerate(wanted.values())})
+        out = out.unionByName(wide.select(*out.columns))
+    return out.select(*group, *outs)
 
 
-def weighted_median(df: DataFrame, group: Sequence[str], value: str, weight: str, out: str = "weighted_median") -> DataFrame:
-    """Weighted lower median: the smallest value at which the running weight reaches half of the total."""
+def weighted_median(df: DataFrame, group: Sequence[str], value: str, weight: str, out: str = "weighted_median", hot_floor: int = HOT_FLOOR) -> DataFrame:
+    """Weighted lower median: the smallest value at which the running weight reaches half of the total.
+
+    Weights at or below 0 and null or NaN weights and values do not count; a null key is no group.
+    """
     s, group = Scratch(df.sparkSession), list(group)
-    t, total, _ = _counted(df.filter(F.col(weight) > 0), group, value, weight, s)
-    t = s.write(t)
-    j = skew_join(t.df, total, group, "inner", hot_keys(t.df, group, t.rows))
-    return j.groupBy(*group).agg(F.min(F.when(F.col("before") + F.col("w") >= 0.5 * F.col("total"), F.col("v"))).alias(out))
+    ok = df.dropna(subset=group).filter((F.col(weight) > 0) & ~F.isnan(F.col(weight).cast("double")))
+    t = s.keep(_values(ok, group, value, weight))
+    cold, hot_rows, hot = _apart(t, group, hot_floor)
+    upto = F.sum("w").over(Window.partitionBy(*group).orderBy("v").rangeBetween(Window.unboundedPreceding, 0))
+    half = cold.withColumn("upto", upto).withColumn("total", F.sum("w").over(Window.partitionBy(*group)))
+    got = half.groupBy(*group).agg(F.min(F.when(F.col("upto") >= 0.5 * F.col("total"), F.col("v"))).alias(out))
+    if hot_rows is not None:
+        # reaching half is passing anything below it; half a unit in the last place keeps sums of doubles on one side
+        total = hot_rows.groupBy(*group).agg(F.sum("w").cast("double").alias("total"))
+        target = total.select(*group, F.lit(0).alias("target"), (0.5 * F.col("total") * (1 - 1e-15)).alias("rank"))
+        got = got.unionByName(_bisected(hot_rows, group, s.write(target).df, s).select(*group, F.col("v").alias(out)))
+    return got
 
 
 def spread_measures(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Median, median absolute deviation, robust coefficient of variation (1.4826 MAD / |median|) and interquartile range."""
     s, group = Scratch(df.sparkSession), list(group)
-    q = s.write(exact_percentiles(df, group, value, {"median": 0.5, "_q1": 0.25, "_q3": 0.75}))
-    src = s.write(df.select(*group, F.col(value).alias("_v")))
+    src = s.keep(df.dropna(subset=group).select(*group, F.col(value).alias("_v")))
+    q = s.write(exact_percentiles(src.df, group, "_v", {"median": 0.5, "_q1": 0.25, "_q3": 0.75}))
     dev = skew_join(src.df, q.df.select(*group, "median"), group, "inner", hot_keys(src.df, group, src.rows)).select(*group, F.abs(F.col("_v") - F.col("median")).alias("_d"))
     mad = exact_percentiles(dev, group, "_d", {"mad": 0.5})
-    return q.df.join(mad, group).select(*group, "median", "mad", F.try_divide(1.4826 * F.col("mad"), F.abs("median")).alias("robust_cv"), (F.col("_q3") - F.col("_q1")).alias("iqr"))
+    return s.settle(q.df.join(mad, group).select(*group, "median", "mad", F.try_divide(1.4826 * F.col("mad"), F.abs("median")).alias("robust_cv"), (F.col("_q3") - F.col("_q1")).alias("iqr")), q, src)
 
 
 def by_support(df: DataFrame, size: str, value: str, top: int = 5, low: int = 2) -> DataFrame:
@@ -108,18 +178,29 @@ def both_ends_rollup(df: DataFrame, left: str, right: str, value: str) -> DataFr
     return n.join(exact_percentiles(ends, ["member"], "_v", {"median": 0.5}), "member", "left")
 
 
-def mid_rank_percentile(df: DataFrame, group: Sequence[str], item: str, value: str, lower_better: bool = False, out: str = "pct") -> DataFrame:
+def mid_rank_percentile(df: DataFrame, group: Sequence[str], item: str, value: str, lower_better: bool = False, out: str = "pct", hot_floor: int = HOT_FLOOR) -> DataFrame:
     """``100 (below + half the equals) / n`` of each row's value within its group; inverted where less is better.
 
-    Null and NaN values have null.
+    Null and NaN values have null, and so have rows with a null key. Rows of hot groups are ranked by running totals over
+    range partitions.
     """
     s, group = Scratch(df.sparkSession), list(group)
-    t, total, _ = _counted(df, group, value, None, s)
-    t = s.write(t)
-    ranks = s.write(skew_join(t.df, total, group, "inner", hot_keys(t.df, group, t.rows)).select(*group, "v", (100 * (F.col("before") + 0.5 * F.col("w")) / F.col("total")).alias("_p")))
-    src = s.write(df.select(*group, item, F.col(value).cast("double").alias("v")))
-    pct = 100 - F.col("_p") if lower_better else F.col("_p")
-    return skew_join(src.df, ranks.df, [*group, "v"], "left", hot_keys(src.df, [*group, "v"], src.rows)).select(*group, item, F.col("v").alias(value), pct.alias(out))
+    src = s.keep(df.select(*group, item, F.col(value).cast("double").alias("v")))
+    known = F.col("v").isNotNull() & ~F.isnan("v")
+    for g in group:
+        known = known & F.col(g).isNotNull()
+    cold, hot_rows, hot = _apart(src, group, hot_floor)
+    same = Window.partitionBy(*group, known.alias("_known"))
+    rank = (F.rank().over(same.orderBy("v")) - 1 + 0.5 * F.count(F.lit(1)).over(Window.partitionBy(*group, known.alias("_known"), "v"))) / F.count(F.lit(1)).over(same)
+    got = cold.withColumn("_p", F.when(known, 100 * rank))
+    if hot_rows is not None:
+        counted = hot_rows.filter(known).groupBy(*group, "v").agg(F.count(F.lit(1)).alias("w"))
+        t, stored = running_totals(counted, group, ["v"], "w", "before", s)
+        total = F.broadcast(stored.df.groupBy(*group).agg(F.sum("w").alias("total")))  # hot groups
+        ranks = s.write(t.join(total, group).select(*group, "v", (100 * (F.col("before") + 0.5 * F.col("w")) / F.col("total")).alias("_p")))
+        h = s.write(hot_rows)
+        got = got.unionByName(skew_join(h.df, ranks.df, [*group, "v"], "left", hot_keys(h.df, [*group, "v"], h.rows)).select(*got.columns))
+    return got.select(*group, item, F.col("v").alias(value), (100 - F.col("_p") if lower_better else F.col("_p")).alias(out))
 
 
 def spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:

@@ -8,29 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.plans.prefix import dense_ids
-from skerry.plans.skew import HOT_FLOOR, hot_keys
 from skerry.runtime import Scratch
 
 
-def _ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """The first k rows of each group. Hot groups are cut down in slices first, so no task sorts a whole hot group."""
-    s, group = Scratch(df.sparkSession), list(group)
-    t = s.write(df)
-    hot = hot_keys(t.df, group, t.rows)
-    w = Window.partitionBy(*group).orderBy(*order)
-    src = t.df
-    if hot:
-        key = hot.df.select(*group)
-        slices = Window.partitionBy(*group, "_slice").orderBy(*order)
-        part = src.join(key, group, "left_semi").withColumn("_slice", F.pmod(F.xxhash64(*src.columns), F.lit(max(2, t.rows // HOT_FLOOR))))
-        part = part.withColumn("_r", F.row_number().over(slices)).filter(F.col("_r") <= k).drop("_slice", "_r")
-        src = src.join(key, group, "left_anti").unionByName(part)
-    return src.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-
-
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
-    """The first ``k`` rows of each group in ``order``, which should be total; ``rank`` adds the place."""
-    got = _ranked(df, group, order, k)
+    """The first ``k`` rows of each group in ``order``, which should be total; ``rank`` adds the place.
+
+    Spark cuts every group down to ``k`` rows in each partition before the shuffle, so a hot group sends at most ``k`` rows a
+    task. The column ``_r`` is taken by the operator.
+    """
+    got = df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_r") <= k)
     return got.withColumnRenamed("_r", rank) if rank else got.drop("_r")
 
 

@@ -86,14 +86,31 @@ class Scratch:
         back = self.spark.read.schema(df.schema).parquet(path)
         return Written(back, path, back.count())
 
+    def keep(self, df: DataFrame) -> Written:
+        """A table that is read several times: as it is if it is a plain scan, else stored."""
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        if all(x.lstrip(" :+-").split(" ")[0].rstrip(",") in _SCANS for x in plan.splitlines() if x.strip(" :+-")):
+            return Written(df, "", df.count())
+        return self.write(df)
+
+    def settle(self, result: DataFrame, *inputs: Written | None) -> DataFrame:
+        """Stores a result and drops the stored tables it was made from."""
+        out = self.write(result)
+        self.drop(*inputs)
+        return out.df
+
     def drop(self, *tables: Written | None) -> None:
         jvm = self.spark.sparkContext._jvm
         for t in tables:
-            if t is not None:
+            if t is not None and t.path:
                 p = jvm.org.apache.hadoop.fs.Path(t.path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Steps of a plan that are cheap to repeat.
+_SCANS = ("Project", "Filter", "Relation", "LogicalRelation", "LocalRelation")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -79,6 +79,36 @@ def test_percentiles_skip_gaps(spark):
     assert A.exact_percentiles(d.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
 
 
+@pytest.mark.parametrize("floor", [10**9, 60])
+def test_order_statistics_of_hot_groups(spark, monkeypatch, floor):
+    """Sorted and bisected groups give the same exact numbers, with ties, far values and weights."""
+    monkeypatch.setattr(A, "LEFT", 5)
+    monkeypatch.setattr(A, "PARTS", 8)
+    rnd = random.Random(floor)
+    pick = lambda: rnd.choice([0.0, 1.0, 1.0, 2.5, rnd.gauss(0, 1), 1e300, -1e300, 10 ** rnd.randrange(9)])
+    data = [("hot" if i % 3 else rnd.choice(["x", "y", None]), i, rnd.choice([None, math.nan, *[float(pick())] * 8]), rnd.randrange(4)) for i in range(500)]
+    df = spark.createDataFrame(data, "g string, i int, v double, w int")
+    groups = {g: [(v, w, i) for k, i, v, w in data if k == g and v is not None and not math.isnan(v)] for g in ("hot", "x", "y")}
+    want = {"a": 0.0, "b": 0.31, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r.g: r for r in A.exact_percentiles(df, ["g"], "v", want, hot_floor=floor).collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        assert list(got[g])[1:] == pytest.approx(list(np.percentile([v for v, _, _ in vs], [100 * p for p in want.values()])), rel=1e-9)
+    med = {r.g: r.m for r in A.weighted_median(df, ["g"], "v", "w", "m", hot_floor=floor).collect()}
+    pct = {r.i: r.pct for r in A.mid_rank_percentile(df, ["g"], "i", "v", hot_floor=floor).collect()}
+    assert len(pct) == 500
+    for g, vs in groups.items():
+        run, half = 0, sum(w for _, w, _ in vs) / 2
+        for v, w, _ in sorted(vs):
+            run += w
+            if w and run >= half:
+                assert med[g] == v
+                break
+        for v, _, i in vs:
+            assert pct[i] == pytest.approx(100 * (sum(x < v for x, _, _ in vs) + sum(x == v for x, _, _ in vs) / 2) / len(vs))
+    assert all(pct[i] is None for g, i, v, _ in data if g is None or v is None or math.isnan(v))
+
+
 def test_ewma(spark):
     d = spark.createDataFrame([(k, i, float((i * 7 + k) % 11)) for k in range(5) for i in range(20)], "k int, i int, v double")
     got = {r.k: (r.estimate, r.n) for r in A.asymmetric_ewma(d, "k", ["i"], "v").collect()}
@@ -97,14 +127,13 @@ def test_coverage_and_zero_fill(spark):
     assert rows(got) == [("f", 1.0), ("g", 1 / 64), ("h", 0.0)]
 
 
-def test_top_k_cuts_hot_groups(spark, monkeypatch):
-    monkeypatch.setattr(S, "HOT_FLOOR", 50)
-    monkeypatch.setattr(S, "hot_keys", lambda df, k, n: hot_keys(df, k, n, floor=50, share=3))
+def test_top_k_cuts_hot_groups(spark):
     rnd = random.Random(1)
     data = [("hot" if i % 2 else f"g{i % 30}", i, rnd.randrange(50)) for i in range(600)]
-    got = rows(S.top_k(spark.createDataFrame(data, "g string, i int, s int"), ["g"], [F.desc("s"), F.asc("i")], 5))
+    got = S.top_k(spark.createDataFrame(data, "g string, i int, s int"), ["g"], [F.desc("s"), F.asc("i")], 5)
     want = [x for k in {d[0] for d in data} for x in sorted([d for d in data if d[0] == k], key=lambda d: (-d[2], d[1]))[:5]]
-    assert got == sorted(want, key=repr)
+    assert rows(got) == sorted(want, key=repr)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
 
 
 def test_even_positions(spark):
