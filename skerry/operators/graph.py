@@ -2,44 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.plans.prefix import dense_ids
 from skerry.plans.skew import hot_keys, skew_join
-from skerry.runtime import Scratch
+from skerry.runtime import Scratch, Written
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, node: str = "node") -> DataFrame:
+#: Edges that one task solves at once: two whole numbers each, so some tens of MB.
+ONE_TASK = 2_000_000
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges (u, v) of one partition: every node with the smallest it is connected to."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    ends = [t.column(c).to_numpy() for c in ("u", "v")]
+    nodes = np.unique(np.concatenate(ends))
+    u, v = (np.searchsorted(nodes, e) for e in ends)
+    label = np.arange(len(nodes))
+    while True:
+        a, b = label[u], label[v]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while not np.array_equal(label, nxt := label[label]):
+            label = nxt
+    for lo in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[lo : lo + 100_000]), pa.array(nodes[label[lo : lo + 100_000]])], names=["node", "component"])
+
+
+def _contracted(e: Written, s: Scratch, one_task: int) -> DataFrame:
+    """(node, component) of every node of the distinct edges (u, v), u < v."""
+    if e.rows <= one_task:
+        return e.df.repartition(1).mapInArrow(_solve, "node bigint, component bigint")
+    both = s.write(e.df.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*"))
+    near = s.write(both.df.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("up")))
+    s.drop(both)
+    up2 = near.df.select(F.col("node").alias("up"), F.col("up").alias("label"))
+    to = s.write(skew_join(near.df, up2, ["up"], "inner", hot_keys(near.df, ["up"], near.rows)).select("node", "label"))
+    half = s.write(skew_join(e.df, to.df.select(F.col("node").alias("u"), F.col("label").alias("a")), ["u"], "inner", hot_keys(e.df, ["u"], e.rows)).select("a", "v"))
+    whole = skew_join(half.df, to.df.select(F.col("node").alias("v"), F.col("label").alias("b")), ["v"], "inner", hot_keys(half.df, ["v"], half.rows))
+    rest = s.write(whole.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    s.drop(near, half, e)
+    above = s.write(_contracted(rest, s, one_task)) if rest.rows else None
+    if above is None:
+        return to.df.select("node", F.col("label").alias("component"))
+    top = above.df.select(F.col("node").alias("label"), "component")
+    found = skew_join(to.df, top, ["label"], "left", hot_keys(to.df, ["label"], to.rows)).select("node", F.coalesce("component", "label").alias("component"))
+    return s.settle(found, to, above)
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, node: str = "node", one_task: int = ONE_TASK) -> DataFrame:
     """``node, component``: every node with the smallest node it is connected to (nodes are whole numbers).
 
-    Hook and shortcut: every round hooks a node's parent to the least grandparent among its neighbours and halves all
-    parent chains, so rounds grow with the logarithm of the diameter. State lies in written tables; hot parents and hot
-    neighbours are joined by bounded broadcast. Null ends link nothing; nodes of ``nodes`` without edges stand alone.
+    Contraction: every node takes the least neighbour of its least neighbour as label, edges are rewritten to labels, and
+    those between equal labels leave, with them all groups that are done; so the graph shrinks from round to round. What
+    is left of it when it has at most ``one_task`` edges is solved in one task. Labels are then handed down the rounds. State
+    lies in written tables, dropped as they are used up; hot nodes are joined by :func:`skew_join`.
+
+    Null ends link nothing, but the other end is a node; nodes of ``nodes`` without edges stand alone; repeated edges and
+    equal ends are fine; an empty table gives an empty result.
     """
     s = Scratch(edges.sparkSession)
     a, b = F.col(src).cast("bigint"), F.col(dst).cast("bigint")
-    e = s.write(edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.explode(F.array(F.struct(a.alias("u"), b.alias("v")), F.struct(b.alias("u"), a.alias("v")))).alias("e")).select("e.*").distinct())
-    hot_v = hot_keys(e.df, ["v"], e.rows)
-    named = edges.select(F.explode(F.array(a, b)).alias("node"))
+    raw = s.keep(edges.select(a.alias("a"), b.alias("b")))
+    e = s.write(raw.df.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    found = s.write(_contracted(e, s, one_task))
+    lone = raw.df.filter("a IS NULL OR b IS NULL OR a = b").select(F.coalesce("a", "b").alias("node"))
     if nodes is not None:
-        named = named.unionByName(nodes.select(F.col(node).cast("bigint").alias("node")))
-    least = e.df.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-    f = s.write(named.filter("node IS NOT NULL").distinct().join(least, "node", "left").select("node", F.least("node", "m").alias("f")))
-    while True:
-        up = f.df.select(F.col("node").alias("f"), F.col("f").alias("gf"))
-        g = s.write(skew_join(f.df, up, ["f"], "inner", hot_keys(f.df, ["f"], f.rows)).select("node", "f", "gf"))
-        m = skew_join(e.df, g.df.select(F.col("node").alias("v"), "gf"), ["v"], "inner", hot_v).groupBy(F.col("u").alias("node")).agg(F.min("gf").alias("m"))
-        h = s.write(g.df.join(m, "node", "left").select("node", "f", F.least("gf", "m").alias("c")))
-        hook = h.df.groupBy(F.col("f").alias("node")).agg(F.min("c").alias("k"))
-        nxt = s.write(h.df.join(hook, "node", "left").select("node", F.least("c", "k").alias("f"), F.col("f").alias("was")))
-        done = nxt.df.filter("f <> was").isEmpty()
-        s.drop(g, h, f)
-        if done:
-            return nxt.df.select("node", F.col("f").alias("component"))
-        f = nxt
+        lone = lone.unionByName(nodes.select(F.col(node).cast("bigint").alias("node")))
+    lone = lone.filter("node IS NOT NULL").distinct().join(found.df.select("node"), "node", "left_anti")
+    return found.df.unionByName(lone.select("node", F.col("node").alias("component")))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

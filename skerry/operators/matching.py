@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.plans.skew import hot_keys
+from skerry.runtime import Scratch
+
 #: Rows of either side that one distance block holds.
 BLOCK = 2048
 
@@ -103,8 +106,6 @@ def lsh_nearest(df: DataFrame, queries: DataFrame, qid: str, tid: str, vector: s
     dropped before distances are taken. A query that shares no bucket with another target is searched exactly, by
     :func:`knn2`; it has no row only if there is no other target.
     """
-    from skerry.runtime import Scratch
-
     dim = len(df.select(vector).filter(F.col(vector).isNotNull()).first()[0])
     rng = np.random.default_rng(seed)
     planes, shift = rng.standard_normal((tables, hashes, dim)), rng.uniform(0, width, (tables, hashes))
@@ -131,33 +132,74 @@ def lsh_nearest(df: DataFrame, queries: DataFrame, qid: str, tid: str, vector: s
     return best.select(F.col("q").alias(qid), F.col("t").alias("nearest"), F.col("d").alias("distance"))
 
 
-def greedy_one_to_one(df: DataFrame, pair: str, left: str, right: str, order: Sequence[Column]) -> DataFrame:
-    """Greedy matching of each pair's candidates in ``order``: a candidate is kept if neither end is taken yet.
-
-    Greedy order is kept by rounds that need no sequence: a candidate that is first among the open ones at both of its
-    ends is certain to be kept, and its rivals to be dropped; repeat until none is open. Rounds are distributed joins, so
-    a pair of any size may be matched. ``order`` must be total within a pair. Adds ``kept``; a repeated (left, right)
-    loses to its first.
+#: Candidates of a pair that one task folds in order, about a million a second; larger pairs are matched in rounds.
+FOLD = 5_000_000
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Flags each row of sorted pairs: ``kept``, or which ends were taken before it."""
+    now, taken_l, taken_r, seen = None, set(), set(), set()
+    for b in batches:
+        why = []
+        for p, left, right in zip(*(b.column(c).to_pylist() for c in ("p", "l", "r"))):
+            if p != now:
+                now, taken_l, taken_r, seen = p, set(), set(), set()
+            if (left, right) in seen:
+                why.append("duplicate")
+            elif left in taken_l or right in taken_r:
+                why.append("conflict")
+            else:
+                why.append("kept")
+                taken_l.add(left)
+                taken_r.add(right)
+                seen.add((left, right))
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(why, pa.string())], names=["row", "why"])
+
+
+def greedy_one_to_one(df: DataFrame, pair: str, left: str, right: str, order: Sequence[Column], fold: int = FOLD) -> DataFrame:
+    """Greedy matching of each pair's candidates in ``order``, which must be total within a pair.
+
+    Adds ``why``: ``kept`` if neither end was taken before, ``duplicate`` for a repetition of a kept (left, right),
+    ``conflict`` for others with a taken end. Each pair is sorted (which spills) and folded in order by one task, which holds
+    the taken ends of one pair. Pairs of more than ``fold`` candidates are matched in rounds instead: a candidate that is
+    first among the open ones at both of its ends is certain to be kept, and its rivals are dropped; rounds are as many
+    as the longest run of candidates that wait for one another.
+
+    Rows with a null pair or end take no part; an empty table gives an empty result.
     """
     from skerry.plans.prefix import running_totals
-    from skerry.runtime import Scratch
 
     s = Scratch(df.sparkSession)
-    named = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(order)]).withColumn("_one", F.lit(1))
-    keyed, _ = running_totals(named, [pair], [f"_o{i}" for i in range(len(order))], "_one", "_at", s)
-    live = s.write(keyed.drop("_one", *[f"_o{i}" for i in range(len(order))]))
-    kept = []
-    while live.rows:
-        firsts = [live.df.groupBy(pair, e).agg(F.min("_at").alias(f"_m{e}")) for e in (left, right)]
-        j = live.df.join(firsts[0], [pair, left]).join(firsts[1], [pair, right])
-        sure = s.write(j.filter((F.col("_at") == F.col(f"_m{left}")) & (F.col("_at") == F.col(f"_m{right}"))).select(*live.df.columns))
-        kept.append(sure.df)
-        rest = live.df.join(sure.df.select(pair, left), [pair, left], "left_anti").join(sure.df.select(pair, right), [pair, right], "left_anti")
-        live = s.write(rest.select(*live.df.columns))
-    out = kept[0] if kept else live.df
-    for k in kept[1:]:
-        out = out.unionByName(k)
-    return out.drop("_at")
+    t = s.write(df.dropna(subset=[pair, left, right]).withColumn("_row", F.monotonically_increasing_id()))
+    os = [c.alias(f"o{i}") for i, c in enumerate(order)]
+    slim = t.df.select(F.col("_row").alias("row"), F.col(pair).alias("p"), F.col(left).alias("l"), F.col(right).alias("r"), *os)
+    hot = hot_keys(t.df.select(F.col(pair).alias("p")), ["p"], t.rows, floor=fold)
+    small = slim.join(hot.df.select("p"), "p", "left_anti") if hot else slim
+    by = [f"o{i}" for i in range(len(order))]
+    why = small.repartition("p").sortWithinPartitions("p", *by).select("row", "p", "l", "r").mapInArrow(_fold, "row bigint, why string")
+    if hot:
+        named = slim.join(hot.df.select("p"), "p", "left_semi").withColumn("one", F.lit(1))
+        keyed, _ = running_totals(named, ["p"], by, "one", "at", s)
+        every = s.write(keyed.select("row", "p", "l", "r", "at"))
+        live, kept = every, []
+        while live.rows:
+            firsts = [live.df.groupBy("p", e).agg(F.min("at").alias(f"m{e}")) for e in "lr"]
+            j = live.df.join(firsts[0], ["p", "l"]).join(firsts[1], ["p", "r"])
+            sure = s.write(j.filter("at = ml AND at = mr").select("row", "p", "l", "r"))
+            kept.append(sure.df)
+            rest = live.df.join(sure.df.select("p", "l"), ["p", "l"], "left_anti").join(sure.df.select("p", "r"), ["p", "r"], "left_anti")
+            nxt = s.write(rest.select("row", "p", "l", "r", "at"))
+            if live is not every:
+                s.drop(live)
+            live = nxt
+        won = kept[0]
+        for k in kept[1:]:
+            won = won.unionByName(k)
+        won = s.write(won)
+        flags = every.df.join(won.df.select("row", F.lit(True).alias("k")), "row", "left").join(won.df.select("p", "l", "r", F.lit(True).alias("same")), ["p", "l", "r"], "left")
+        why = why.unionByName(flags.select("row", F.when(F.col("k"), "kept").when(F.col("same"), "duplicate").otherwise("conflict").alias("why")))
+    out = t.df.join(why, t.df["_row"] == why["row"]).drop("_row", "row")
+    return s.settle(out, t)
 
 
 def quantize(df: DataFrame, x: str, y: str, grid: float) -> DataFrame:

@@ -191,4 +191,4 @@ def quantize_cells(spark: SparkSession, d: str) -> DataFrame:
 def greedy_one_to_one(spark: SparkSession, d: str) -> DataFrame:
     m = _links(spark, d).select("pair_idx", "match_idx", "feature_i", "feature_j", "confidence").dropna(subset=["feature_i", "feature_j"]).dropDuplicates(["match_idx"])
     conf = F.coalesce(F.nanvl("confidence", F.lit(-1.0)), F.lit(-1.0))
-    return M.greedy_one_to_one(m, "pair_idx", "feature_i", "feature_j", [-conf, F.col("match_idx")]).select("pair_idx", "match_idx")
+    return M.greedy_one_to_one(m, "pair_idx", "feature_i", "feature_j", [-conf, F.col("match_idx")]).filter("why = 'kept'").select("pair_idx", "match_idx")

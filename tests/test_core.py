@@ -176,8 +176,9 @@ def test_components_random(spark):
         if a is not None and b is not None:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = G.connected_components(spark.createDataFrame(edges, "src int, dst int"))
-    assert {r[0]: r[1] for r in got.collect()} == {n: find(n) for n in root}
+    for most in (G.ONE_TASK, 10):  # in one task, and by rounds of contraction
+        got = G.connected_components(spark.createDataFrame(edges, "src int, dst int"), one_task=most)
+        assert {r[0]: r[1] for r in got.collect()} == {n: find(n) for n in root}
     assert G.connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
@@ -195,17 +196,22 @@ def test_split_rate(spark, obs, want):
     assert R.split_rate(d, "t", "f", "x", "y", 2.0).first().split_rate == want
 
 
-def test_greedy_matches_sequential(spark):
+@pytest.mark.parametrize("fold", [M.FOLD, 20])
+def test_greedy_matches_sequential(spark, fold):
     rnd = random.Random(2)
-    cand = [(p, i, rnd.randrange(12), rnd.randrange(12)) for p in range(4) for i in range(60)]
-    got = {(r.p, r.i) for r in M.greedy_one_to_one(spark.createDataFrame(cand, "p int, i int, a int, b int"), "p", "a", "b", [F.col("i")]).collect()}
-    want = set()
-    for p in range(4):
-        left, right = set(), set()
+    cand = [(p, i, rnd.randrange(12), rnd.randrange(12)) for p in range(4) for i in range(60)] + [(9, i, i // 2, (i + 1) // 2) for i in range(40)]
+    odd = [(None, 1, 1, 1), (1, 99, None, 2)]
+    df = spark.createDataFrame(cand + odd, "p int, i int, a int, b int").repartition(3)
+    got = {(r.p, r.i): r.why for r in M.greedy_one_to_one(df, "p", "a", "b", [F.col("i")], fold=fold).collect()}
+    want = {}
+    for p in {c[0] for c in cand}:
+        left, right, both = set(), set(), set()
         for q, i, a, b in cand:
-            if q == p and a not in left and b not in right:
-                left.add(a), right.add(b), want.add((p, i))
-    assert got == want
+            if q == p:
+                want[p, i] = "duplicate" if (a, b) in both else "conflict" if a in left or b in right else "kept"
+                if want[p, i] == "kept":
+                    left.add(a), right.add(b), both.add((a, b))
+    assert got == want and M.greedy_one_to_one(df.limit(0), "p", "a", "b", [F.col("i")]).count() == 0
 
 
 def test_knn_and_lsh(spark, monkeypatch):
