@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.plans.prefix import running_totals
-from skerry.plans.skew import HOT_FLOOR, HotKeys, hot_keys, skew_join
+from skerry.plans.skew import HotKeys, hot_keys, skew_join
 from skerry.runtime import Scratch, Written
 
 
+#: Rows of a group up to which one task sorts it, in a second or two; larger groups are hot.
+SORTED = 2_000_000
+
+
 def zero_filled_counts(df: DataFrame, domain: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
     """Rows per key, 0 for keys of ``domain`` that have none. Keys outside the domain and null keys are left out."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
@@ -81,24 +85,34 @@ def _bisected(rows: DataFrame, group: list[str], targets: DataFrame, s: Scratch)
     rows is sorted.
     """
     bounds = [F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")]
+    gs = [f"_g{i}" for i in range(len(group))]
+    span = [*group, "lo", "hi"]
+
+    def inside(live: DataFrame) -> DataFrame:
+        """Rows in each distinct interval; intervals are those of some targets of hot groups, so few."""
+        few = F.broadcast(live.select(*[F.col(g).alias(x) for g, x in zip(group, gs)], "lo", "hi").distinct())
+        on = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
+        for g, x in zip(group, gs):
+            on = on & (F.col(g) == F.col(x))
+        return rows.join(few, on).drop(*gs)
+
     state = s.write(targets.join(rows.groupBy(*group).agg(*bounds), group)).df
     done: list[DataFrame] = []
     while True:
         done.append(state.filter("lo = hi").select(*group, "target", F.col("lo").alias("v")))
-        live = state.filter("lo < hi")
-        wide = live.filter(F.col("n") > LEFT)
-        few = F.broadcast(live.filter(F.col("n") <= LEFT).groupBy(*group).agg(F.collect_list(F.struct("target", "rank", "lo", "hi")).alias("ts")))  # hot groups
-        inside = lambda t: F.explode(F.filter("ts", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"]))).alias("t")
-        last = rows.join(few, group).select(*group, "v", "w", inside(few)).select(*group, "v", "w", "t.target", "t.rank")
-        upto = F.sum("w").over(Window.partitionBy(*group, "target").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # LEFT rows at most
-        done.append(last.withColumn("upto", upto).filter("upto > rank").groupBy(*group, "target").agg(F.min("v").alias("v")))
+        few, wide = state.filter(f"lo < hi AND n <= {LEFT}"), state.filter(f"lo < hi AND n > {LEFT}")
+        if not few.isEmpty():
+            upto = F.sum("w").over(Window.partitionBy(*span).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # LEFT rows at most
+            last = s.write(inside(few).withColumn("upto", upto).select(*span, "v", "upto")).df
+            done.append(few.join(last, span).filter("upto > rank").groupBy(*group, "target").agg(F.min("v").alias("v")))
         if wide.isEmpty():
             break
-        many = F.broadcast(wide.groupBy(*group).agg(F.collect_list(F.struct("target", "rank", "lo", "hi")).alias("ts")))  # hot groups
-        part = F.least(F.floor((F.col("v") / 2 - F.col("t.lo") / 2) / (F.col("t.hi") / 2 - F.col("t.lo") / 2) * PARTS), F.lit(PARTS - 1)).cast("int")
-        count = rows.join(many, group).select(*group, "v", "w", inside(many)).groupBy(*group, "t.target", "t.rank", part.alias("part")).agg(F.sum("w").alias("w"), *bounds)
-        under = F.coalesce(F.sum("w").over(Window.partitionBy(*group, "target").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # PARTS rows at most
-        state = s.write(count.withColumn("under", under).filter("under <= rank AND under + w > rank").select(*group, "target", (F.col("rank") - F.col("under")).alias("rank"), "lo", "hi", "n")).df
+        part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * PARTS), F.lit(PARTS - 1)).cast("int")
+        inner = [F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n")]
+        count = inside(wide).groupBy(*span, part.alias("part")).agg(F.sum("w").alias("w"), *inner)
+        under = F.coalesce(F.sum("w").over(Window.partitionBy(*span).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # PARTS rows at most
+        cut = wide.drop("n").join(count.withColumn("under", under), span).filter("under <= rank AND under + w > rank")
+        state = s.write(cut.select(*group, "target", (F.col("rank") - F.col("under")).alias("rank"), F.col("least").alias("lo"), F.col("most").alias("hi"), "n")).df
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -109,7 +123,7 @@ def _position(p: float) -> Column:
     return F.lit(p) * (F.col("total") - 1)
 
 
-def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, wanted: dict[str, float], weight: str | None = None, hot_floor: int = HOT_FLOOR) -> DataFrame:
+def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, wanted: dict[str, float], weight: str | None = None, hot_floor: int = SORTED) -> DataFrame:
     """Exact percentiles with linear interpolation, one column for each entry of ``wanted``. Nulls and NaN do not count.
 
     ``weight`` names a column of repeat counts. Groups without values have no row; a null key is no group.
@@ -133,7 +147,7 @@ def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, wanted: d
     return out.select(*group, *outs)
 
 
-def weighted_median(df: DataFrame, group: Sequence[str], value: str, weight: str, out: str = "weighted_median", hot_floor: int = HOT_FLOOR) -> DataFrame:
+def weighted_median(df: DataFrame, group: Sequence[str], value: str, weight: str, out: str = "weighted_median", hot_floor: int = SORTED) -> DataFrame:
     """Weighted lower median: the smallest value at which the running weight reaches half of the total.
 
     Weights at or below 0 and null or NaN weights and values do not count; a null key is no group.
@@ -178,7 +192,7 @@ def both_ends_rollup(df: DataFrame, left: str, right: str, value: str) -> DataFr
     return n.join(exact_percentiles(ends, ["member"], "_v", {"median": 0.5}), "member", "left")
 
 
-def mid_rank_percentile(df: DataFrame, group: Sequence[str], item: str, value: str, lower_better: bool = False, out: str = "pct", hot_floor: int = HOT_FLOOR) -> DataFrame:
+def mid_rank_percentile(df: DataFrame, group: Sequence[str], item: str, value: str, lower_better: bool = False, out: str = "pct", hot_floor: int = SORTED) -> DataFrame:
     """``100 (below + half the equals) / n`` of each row's value within its group; inverted where less is better.
 
     Null and NaN values have null, and so have rows with a null key. Rows of hot groups are ranked by running totals over

@@ -101,22 +101,21 @@ def build_tracks(links: DataFrame, policy: str = "drop", least: int = 2) -> Data
     ok = s.write(links.dropna(subset=["scope", "image_i", "feature_i", "image_j", "feature_j"]).select("scope", "image_i", "feature_i", "image_j", "feature_j").distinct())
     key = ["scope", "image", "feature"]
     ends = ok.df.select("scope", F.explode(F.array(F.struct(F.col("image_i").alias("image"), F.col("feature_i").alias("feature")), F.struct(F.col("image_j").alias("image"), F.col("feature_j").alias("feature")))).alias("e")).select("scope", "e.*").distinct()
-    ids = s.write(dense_ids(ends, "node", s)[0])
+    ids = s.write(ends.withColumn("node", F.monotonically_increasing_id()))
     at = lambda x, n: ids.df.select("scope", F.col("image").alias(f"image_{x}"), F.col("feature").alias(f"feature_{x}"), F.col("node").alias(n))
     edges = ok.df.join(at("i", "src"), ["scope", "image_i", "feature_i"]).join(at("j", "dst"), ["scope", "image_j", "feature_j"]).select("src", "dst")
-    obs = s.write(connected_components(edges).join(ids.df, "node").select("component", "node", *key))
-    per = obs.df.groupBy("component", "image").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-    if policy == "first":
-        kept = per.select("component", "node")
-        sizes = per.groupBy("component").agg(F.count(F.lit(1)).alias("len"))
-    else:
-        sizes = per.groupBy("component").agg(F.sum("n").alias("len"), F.max("n").alias("worst")).filter("worst = 1").select("component", "len")
-        kept = obs.df.select("component", "node")
-    good = s.write(sizes.filter(F.col("len") >= least).select("component"))
-    numbers, _ = dense_ids(good.df, "track_id", s)
-    k = s.write(kept)
+    obs = s.write(connected_components(edges).join(ids.df, "node").select("component", *key))
+    s.drop(ok, ids)
+    per = obs.df.groupBy("component", "scope", "image").agg(F.count(F.lit(1)).alias("n"), F.min("feature").alias("feature"))
+    # a track is numbered by its first keypoint, so numbers are the same on every run
+    head = F.min(F.struct("image", "feature")).alias("h")
+    sizes = per.groupBy("component", "scope").agg(head, F.count(F.lit(1)).alias("images"), F.sum("n").alias("points"))
+    sizes = sizes.filter(F.col("images") >= least) if policy == "first" else sizes.filter((F.col("images") == F.col("points")) & (F.col("points") >= least))
+    good = s.write(sizes.select("component", "scope", "h.*"))
+    numbers = good.df.join(dense_ids(good.df.select(*key), "track_id", s)[0], key).select("component", "track_id")
+    k = s.write(per.select("component", *key)) if policy == "first" else obs
     chosen = skew_join(k.df, numbers, ["component"], "inner", hot_keys(k.df, ["component"], k.rows))
-    return chosen.join(ids.df, "node").select("track_id", *key)
+    return s.settle(chosen.select("track_id", *key), good, k, obs)
 
 
 def inconsistent_rate(labels: DataFrame, group: str, frame: str) -> DataFrame:
