@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -58,15 +59,20 @@ def knn2(queries: DataFrame, targets: DataFrame, qid: str, tid: str, vector: str
             return pa.table({n: [] for n in names}).cast(schema)
         b = b.sort_by("id")
         ids = b.column("id")
-        x, y = (np.array(z.column("v").to_pylist(), dtype=np.float64) for z in (a, b))
+        x, y = (np.asarray(z.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(z.num_rows, -1) for z in (a, b))
         if hamming:
             d = np.stack([np.abs(y - r).sum(axis=1) for r in x])
         else:
             d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
         k = min(2, len(y))
-        # a stable sort of all distances would be slower; ties go to the smaller id as ids are sorted
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(d, order, axis=1)
+        # ids are sorted, so the first of equal distances is the smaller id
+        order = np.empty((len(x), k), np.int64)
+        best = np.empty((len(x), k))
+        at = np.arange(len(x))
+        for j in range(k):
+            order[:, j] = d.argmin(axis=1)
+            best[:, j] = d[at, order[:, j]]
+            d[at, order[:, j]] = np.inf
         if not hamming:
             best = np.sqrt(((x[:, None, :] - y[order]) ** 2).sum(axis=2))
         cols = {"pair": a.column("pair"), "q": a.column("id"), "t1": ids.take(pa.array(order[:, 0])), "d1": pa.array(best[:, 0])}
@@ -99,37 +105,68 @@ def mutual(forward: DataFrame, backward: DataFrame, a: str, b: str) -> DataFrame
     return forward.join(backward.select(a, b), [a, b], "left_semi")
 
 
-def lsh_nearest(df: DataFrame, queries: DataFrame, qid: str, tid: str, vector: str, width: float, tables: int = 8, hashes: int = 4, seed: int = 3) -> DataFrame:
-    """Approximate nearest target of each query by random-projection buckets (JVM expressions), verified by true distance.
+#: Vectors that an index is fitted on, and queries among them that its probes are chosen by.
+SAMPLE, TRIED = 20_000, 1_000
 
-    Every target is indexed. A bucket that is hot is met by its queries only once per pair; duplicates across tables are
-    dropped before distances are taken. A query that shares no bucket with another target is searched exactly, by
-    :func:`knn2`; it has no row only if there is no other target.
+
+def _fit_cells(v: np.ndarray, recall: float, seed: int) -> tuple[np.ndarray, int]:
+    """Centres of cells (k-means on the sample) and how many of the nearest cells to probe.
+
+    The probes are the fewest with which the sample's own nearest vectors are met at the wanted rate and a margin; in the whole table
+    nearest vectors are nearer, so the rate there is higher.
     """
-    dim = len(df.select(vector).filter(F.col(vector).isNotNull()).first()[0])
     rng = np.random.default_rng(seed)
-    planes, shift = rng.standard_normal((tables, hashes, dim)), rng.uniform(0, width, (tables, hashes))
-
-    def buckets(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_list())
-        h = np.floor((np.einsum("thd,nd->nth", planes, x) + shift) / width).astype(np.int64)
-        return pd.Series([[":".join(map(str, [t, *r])) for t, r in enumerate(row)] for row in h])
-
-    f = F.pandas_udf(buckets, "array<string>")
-    t = df.filter(F.col(vector).isNotNull()).select(F.col(tid).alias("t"), F.col(vector).alias("tv"))
-    q = queries.filter(F.col(vector).isNotNull()).select(F.col(qid).alias("q"), F.col(vector).alias("qv"))
-    tb = t.select("t", F.explode(f("tv")).alias("b"))
-    qb = q.select("q", F.explode(f("qv")).alias("b"))
-    pairs = qb.join(tb, "b").filter("q <> t").select("q", "t").distinct()
-    d = F.sqrt(F.aggregate(F.zip_with("qv", "tv", lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x))
-    near = pairs.join(q, "q").join(t, "t").select("q", "t", d.alias("d"))
-    best = Scratch(df.sparkSession).write(near.groupBy("q").agg(F.min_by("t", F.struct("d", "t")).alias("t"), F.min("d").alias("d"))).df
-    alone = q.join(best.select("q"), "q", "left_anti").dropDuplicates(["q"]).select(F.col("q").alias("i"), F.col("qv").alias("v"))
-    exact = knn2(alone, t.dropDuplicates(["t"]).select(F.col("t").alias("i"), F.col("tv").alias("v")), "i", "i", "v")
+    k = max(1, min(1024, int(1.5 * math.sqrt(len(v)))))
+    c = v[rng.choice(len(v), k, replace=False)]
+    far = lambda x, y: (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
+    for _ in range(8):
+        cell = far(v, c).argmin(1)
+        n = np.bincount(cell, minlength=k)
+        new = np.zeros_like(c)
+        np.add.at(new, cell, v)
+        c = np.where(n[:, None] > 0, new / np.maximum(n, 1)[:, None], c)
+    cell = far(v, c).argmin(1)
+    q = rng.choice(len(v), min(TRIED, len(v)), replace=False)
+    d = far(v[q], v)
+    d[np.arange(len(q)), q] = np.inf
+    rank = (far(v[q], c).argsort(1).argsort(1))[np.arange(len(q)), cell[d.argmin(1)]]
+    return c, int(np.quantile(rank, min(1.0, recall + 0.05), method="higher")) + 1
+
+
+def cell_nearest(df: DataFrame, queries: DataFrame, qid: str, tid: str, vector: str, recall: float = 0.9, seed: int = 3) -> DataFrame:
+    """``qid, nearest, distance``: approximate nearest other target of each query, by cells around centres.
+
+    Centres are fitted on ``SAMPLE`` vectors at most (those of smallest hash); every target is indexed by its nearest centre.
+    A query is compared with all targets of its nearest cells, as matrices in blocks (:func:`knn2`), so a hot cell is split
+    and duplicates meet once. A query whose cells hold no other target is searched exactly; it has no row only if there is no
+    other target. Null vectors take no part. How much of the table the probed cells hold depends on the data: little where
+    vectors form groups, a third and more where they are spread evenly over many dimensions.
+    """
+    t = df.filter(F.col(vector).isNotNull()).select(F.col(tid).alias("t"), F.col(vector).alias("v")).dropDuplicates(["t"])
+    q = queries.filter(F.col(vector).isNotNull()).select(F.col(qid).alias("q"), F.col(vector).alias("v")).dropDuplicates(["q"])
+    sample = [r[0] for r in t.orderBy(F.xxhash64("v"), "t").limit(SAMPLE).select("v").collect()]  # bounded
+    if not sample:
+        return q.select(F.col("q").alias(qid), F.lit(None).cast(t.schema["t"].dataType).alias("nearest"), F.lit(0.0).alias("distance")).limit(0)
+    centres, probes = _fit_cells(np.array(sample, dtype=np.float64), recall, seed)
+
+    def cells(n: int):
+        def near(v: pd.Series) -> pd.Series:
+            x = np.stack(v.to_list()).astype(np.float64)
+            d = (centres * centres).sum(1)[None] - 2 * x @ centres.T
+            return pd.Series(list(d.argsort(1, kind="stable")[:, :n].astype(np.int32)))
+
+        return F.pandas_udf(near, "array<int>")
+
+    s = Scratch(df.sparkSession)
+    tc = s.write(t.select("t", "v", cells(1)("v")[0].alias("cell")))
+    qc = s.write(q.select("q", "v", F.explode(cells(probes)("v")).alias("cell")))
+    two = knn2(qc.df, tc.df, "q", "t", "v", pair="cell")
     # a query that is a target itself has itself among its two nearest, or is as near to both of them
-    other = lambda a, b: F.when(F.col("t1") == F.col("i"), F.col(b)).otherwise(F.col(a))
-    best = best.unionByName(exact.select(F.col("i").alias("q"), other("t1", "t2").alias("t"), other("d1", "d2").alias("d")).filter("t IS NOT NULL"))
-    return best.select(F.col("q").alias(qid), F.col("t").alias("nearest"), F.col("d").alias("distance"))
+    other = lambda d, i, a, b: d.select(F.col(i).alias("q"), *[F.when(F.col("t1") == F.col(i), F.col(f"{x}2")).otherwise(F.col(f"{x}1")).alias(n) for x, n in (("t", "t"), ("d", "d"))]).filter("t IS NOT NULL")
+    best = s.write(other(two, "q", "t", "d").groupBy("q").agg(F.min_by("t", F.struct("d", "t")).alias("t"), F.min("d").alias("d")))
+    alone = q.join(best.df.select("q"), "q", "left_anti")
+    exact = other(knn2(alone, t, "q", "t", "v"), "q", "t", "d")
+    return s.settle(best.df.unionByName(exact).select(F.col("q").alias(qid), F.col("t").alias("nearest"), F.col("d").alias("distance")), tc, qc, best)
 
 
 #: Candidates of a pair that one task folds in order, about a million a second; larger pairs are matched in rounds.

@@ -52,10 +52,10 @@ def mutual_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def lsh_nearest(spark: SparkSession, d: str) -> DataFrame:
+def cell_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Queries are all vectors whose id is divisible by 20, against all vectors."""
     e = T(spark, d, "embeddings")
-    return M.lsh_nearest(e, e.filter("vec_id % 20 = 0"), "vec_id", "vec_id", "embedding", width=1.6, tables=24, hashes=3)
+    return M.cell_nearest(e, e.filter("vec_id % 20 = 0"), "vec_id", "vec_id", "embedding")
 
 
 @query("""SELECT CAST(a.n_nationkey AS BIGINT) AS i, CAST(b.n_nationkey AS BIGINT) AS j FROM nation a JOIN nation b ON b.n_nationkey > a.n_nationkey AND b.n_nationkey <= a.n_nationkey + 3""")

@@ -214,7 +214,7 @@ def test_greedy_matches_sequential(spark, fold):
     assert got == want and M.greedy_one_to_one(df.limit(0), "p", "a", "b", [F.col("i")]).count() == 0
 
 
-def test_knn_and_lsh(spark, monkeypatch):
+def test_knn(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 16)
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=(40, 8)), rng.normal(size=(50, 8))
@@ -224,24 +224,30 @@ def test_knn_and_lsh(spark, monkeypatch):
     for r in M.knn2(f(a, 0), f(b, 100), "i", "i", "v").collect():
         o = np.lexsort((np.arange(50), d[r.i]))[:2]
         assert (r.t1, r.t2) == (o[0] + 100, o[1] + 100) and r.d1 == pytest.approx(d[r.i][o[0]])
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_cell_nearest_recall(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     q = e.filter("vec_id % 20 = 0")
-    near = {r.vec_id: r.nearest for r in M.lsh_nearest(e, q, "vec_id", "vec_id", "embedding", width=1.6, tables=24, hashes=3).collect()}
-    v = {r.vec_id: np.array(r.embedding) for r in e.collect()}
-    right = sum(near.get(k) == min((x for x in v if x != k), key=lambda x: (((v[x] - v[k]) ** 2).sum(), x)) for k in v if k % 20 == 0)
-    assert right >= 0.9 * sum(k % 20 == 0 for k in v)
+    near = {r.vec_id: r.nearest for r in M.cell_nearest(e, q, "vec_id", "vec_id", "embedding").collect()}
+    ids, v = zip(*[(r.vec_id, r.embedding) for r in e.orderBy("vec_id").collect()])
+    ids, v = np.array(ids), np.array(v)
+    asked = np.flatnonzero(ids % 20 == 0)
+    d = ((v[asked, None] - v[None]) ** 2).sum(2)
+    d[np.arange(len(asked)), asked] = np.inf
+    right = sum(near[ids[i]] == ids[j] for i, j in zip(asked, d.argmin(1)))
+    assert len(near) == len(asked) and right >= 0.9 * len(asked)
 
 
-def test_lsh_without_candidates(spark):
-    """Long vectors share no bucket of a narrow width; each query still has its nearest."""
+def test_cell_nearest_edges(spark):
     v = np.random.default_rng(5).normal(size=(60, 8)) * 1000
-    v[:30:3] = v[1] + np.arange(10)[:, None] * 1e-3  # some do share buckets
-    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "i bigint, v array<double>")
-    got = {r.i: (r.nearest, r.distance) for r in M.lsh_nearest(d, d, "i", "i", "v", width=1.6).collect()}
+    v[:30:3] = v[1] + np.arange(10)[:, None] * 1e-3
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None), (3, v[3].tolist())], "i bigint, v array<double>")
+    got = {r.i: (r.nearest, r.distance) for r in M.cell_nearest(d, d, "i", "i", "v", recall=1.0).collect()}
     dist = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)) + np.diag([np.inf] * 60)
-    assert got.keys() == set(range(60)) and all(got[i][1] == pytest.approx(dist[i].min()) for i in got if i >= 30)
-    assert all(got[i][0] == dist[i].argmin() for i in got if i >= 30)
-    assert M.lsh_nearest(d.filter("i = 0"), d.filter("i = 0"), "i", "i", "v", width=1.6).count() == 0
+    assert got.keys() == set(range(60)) and sum(got[i][1] == pytest.approx(dist[i].min()) for i in got) >= 57
+    assert M.cell_nearest(d.filter("i = 0"), d.filter("i = 0"), "i", "i", "v").count() == 0 == M.cell_nearest(d.limit(0), d, "i", "i", "v").count()
 
 
 def test_constraints(spark):
