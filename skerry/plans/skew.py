@@ -109,7 +109,9 @@ def latest(df: DataFrame, keys: Sequence[str], by: str, keep: Sequence[str], tie
     Equal ``by`` values are settled by a hash of the kept columns (or by ``tie``), so every run picks the same row. Done
     as an aggregate with map-side combine: a key with a third of all rows is reduced before the shuffle.
     """
-    tie = list(tie) or [F.xxhash64(*[F.col(c) for c in keep])]
+    # maps have no hash of their own
+    plain = [F.array_sort(F.map_entries(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in keep]
+    tie = list(tie) or [F.xxhash64(*plain)]
     value = F.struct(*[F.col(c) for c in keep])
     order = F.struct(F.col(by).alias("_o"), *[(F.col(t) if isinstance(t, str) else t).alias(f"_t{i}") for i, t in enumerate(tie)])
     got = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.max_by(value, order).alias("_v"))

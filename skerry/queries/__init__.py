@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("hierarchy", "briefs", "tables", "graphs", "geometry")
+MODULES = ("hierarchy", "briefs", "tables", "graphs", "geometry", "records")
 
 
 def queries() -> dict:
