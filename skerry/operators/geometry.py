@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -149,9 +151,10 @@ def depth_views(df: DataFrame, px: str, py: str, depth: str, colour: str) -> Dat
     return df.groupBy(px, py).agg(F.min_by(colour, F.struct(depth, colour)).alias(colour), F.min(depth).alias(depth))
 
 
-def worst_frames(errors: DataFrame, width: int) -> DataFrame:
-    """The frame order window around the frame of the greatest error: at most ``width`` frames either side."""
-    w = Window.orderBy("frame_idx")  # one row per frame of a capture
-    per = errors.groupBy("frame_idx").agg(F.max("error").alias("error")).withColumn("_r", F.row_number().over(w))
-    top = per.agg(F.max_by("_r", F.struct("error", -F.col("_r"))).alias("_top"))
-    return per.join(F.broadcast(top)).filter(F.abs(F.col("_r") - F.col("_top")) <= width).drop("_r", "_top")
+def worst_frames(errors: DataFrame, width: int, scope: Sequence[str] = ()) -> DataFrame:
+    """Frames of each scope in order, at most ``width`` either side of the frame of the greatest error (the first of equals)."""
+    scope = list(scope)
+    w = Window.partitionBy(*scope).orderBy("frame_idx")  # one row per frame of a capture
+    per = errors.groupBy(*scope, "frame_idx").agg(F.max("error").alias("error")).withColumn("_r", F.row_number().over(w))
+    top = F.max_by("_r", F.struct("error", -F.col("_r"))).over(Window.partitionBy(*scope))
+    return per.withColumn("_top", top).filter(F.abs(F.col("_r") - F.col("_top")) <= width).drop("_r", "_top")

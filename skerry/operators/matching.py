@@ -18,19 +18,22 @@ from skerry.runtime import Scratch
 BLOCK = 2048
 
 
-def band_pairs(frames: DataFrame, idx: str, window: int | None = None, count: int | None = None) -> DataFrame:
-    """(i, j), i < j: all pairs of frames, or those at most ``window`` apart. Written out per frame, without a join.
+def band_pairs(images: DataFrame, count: str, scope: Sequence[str] = (), window: int | None = None) -> DataFrame:
+    """``scope, i, j``, i < j: all pairs of the images 0 .. count-1 of each scope, or those at most ``window`` apart.
 
-    Frames are dense numbers below ``count`` (looked up if not given). All pairs are a result of that size by definition.
+    Written out image by image, without a join; the result has that size by definition.
     """
-    n = count if count is not None else (frames.agg(F.max(idx)).first()[0] or 0) + 1
-    f = frames.select(F.col(idx).cast("bigint").alias("i")).distinct().filter(F.col("i") < n - 1)
-    return f.select("i", F.explode(F.sequence(F.col("i") + 1, (F.least(F.col("i") + window, F.lit(n - 1)) if window else F.lit(n - 1)).cast("bigint"))).alias("j"))
+    f = images.select(*scope, F.col(count).cast("bigint").alias("_n")).filter("_n > 1").select(*scope, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 2)).alias("i"))
+    return f.select(*scope, "i", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("i") + window, F.col("_n") - 1) if window else F.col("_n") - 1)).alias("j"))
 
 
-def stride_pairs(frames: DataFrame, idx: str, stride: int) -> DataFrame:
-    f = frames.select(F.col(idx).alias("i")).distinct()
-    return f.join(f.select((F.col("i") - stride).alias("i"), F.col("i").alias("j")), "i")
+def stride_pairs(images: DataFrame, count: str, stride: int, scope: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """``scope, i, j``: images ``stride`` apart; thinned evenly to ``most`` pairs a scope if given (a sampling operator)."""
+    from skerry.operators.selection import even_positions
+
+    n = F.greatest(F.col(count).cast("bigint") - stride, F.lit(0).cast("bigint"))
+    at = even_positions(n, most) if most else F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1))
+    return images.filter(F.col(count) > stride).select(*scope, F.explode(at).alias("i")).withColumn("j", F.col("i") + stride)
 
 
 def knn2(queries: DataFrame, targets: DataFrame, qid: str, tid: str, vector: str, pair: str | None = None, hamming: bool = False) -> DataFrame:

@@ -58,19 +58,32 @@ def cell_nearest(spark: SparkSession, d: str) -> DataFrame:
     return M.cell_nearest(e, e.filter("vec_id % 20 = 0"), "vec_id", "vec_id", "embedding")
 
 
-@query("""SELECT CAST(a.n_nationkey AS BIGINT) AS i, CAST(b.n_nationkey AS BIGINT) AS j FROM nation a JOIN nation b ON b.n_nationkey > a.n_nationkey AND b.n_nationkey <= a.n_nationkey + 3""")
+_IMAGES = "s AS (SELECT lower(trim(capture, E' \\t\\r\\n')) AS capture, max(n_images) AS n FROM scenes WHERE capture IS NOT NULL AND n_images IS NOT NULL GROUP BY 1)"
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    return T(spark, d, "scenes").groupBy(tidy("capture").alias("capture")).agg(F.max("n_images").alias("n")).dropna()
+
+
+@query("WITH " + _IMAGES + """, f AS (SELECT capture, n, unnest(range(n)) AS i FROM s) SELECT f.capture AS capture, f.i AS i, f.i + k AS j FROM f, range(1, 4) t(k) WHERE f.i + k < n""")
 def view_graph_band(spark: SparkSession, d: str) -> DataFrame:
-    return M.band_pairs(T(spark, d, "nation"), "n_nationkey", 3)
+    """Pairs of images of every capture, at most 3 apart."""
+    return M.band_pairs(_images(spark, d), "n", ["capture"], 3)
 
 
-@query("""SELECT CAST(a.n_nationkey AS BIGINT) AS i, CAST(b.n_nationkey AS BIGINT) AS j FROM nation a JOIN nation b ON b.n_nationkey > a.n_nationkey""")
+@query("WITH " + _IMAGES + """, f AS (SELECT capture, n, unnest(range(n)) AS i FROM s), p AS (SELECT f.capture, f.i, unnest(range(f.i + 1, n)) AS j FROM f)
+SELECT capture, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(i * 31 + j) AS BIGINT) AS mark FROM p GROUP BY 1""")
 def view_graph_all(spark: SparkSession, d: str) -> DataFrame:
-    return M.band_pairs(T(spark, d, "nation"), "n_nationkey")
+    """All pairs of images of every capture, counted."""
+    p = M.band_pairs(_images(spark, d), "n", ["capture"])
+    return p.groupBy("capture").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("i") * 31 + F.col("j")).alias("mark"))
 
 
-@query("""SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 4""")
+@query("WITH " + _IMAGES + """, c AS (SELECT capture, n - 4 AS n FROM s WHERE n > 4), k AS (SELECT DISTINCT capture, CASE WHEN n <= 10 THEN i ELSE CAST(floor(i * ((n - 1) / 9)) AS BIGINT) END AS i FROM c, range(0, 10) t(i) WHERE n > 10 OR i < n)
+SELECT capture, i, i + 4 AS j FROM k""")
 def stride_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return M.stride_pairs(T(spark, d, "nation"), "n_nationkey", 4)
+    """Pairs of images 4 apart, ten at even steps in each capture."""
+    return M.stride_pairs(_images(spark, d), "n", 4, ["capture"], 10)
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
