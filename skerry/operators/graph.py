@@ -161,8 +161,27 @@ def leaves(produced: DataFrame, consumed: DataFrame, key: str) -> DataFrame:
     return produced.join(consumed.select(key).dropna().distinct(), key, "left_anti")
 
 
-def ancestry(edges: DataFrame, child: str, parent: str, starts: DataFrame, start: str) -> DataFrame:
-    """``start, ancestor, depth``: everything the starts derive from, with the least number of steps.
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """``child, ancestor, depth`` of every node, by doubling: each round joins the pairs found so far with themselves, so rounds
+    grow with the logarithm of the depth. Nodes are no ancestors of their own, loops end."""
+    s = Scratch(edges.sparkSession)
+    c = s.write(edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).dropna().distinct().filter("child <> ancestor"))
+    size = lambda t: t.df.agg(F.sum("depth")).first()[0]
+    was = (c.rows, size(c))
+    while c.rows:
+        up = c.df.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_top"), F.col("depth").alias("_d"))
+        far = c.df.join(up, "ancestor").select("child", F.col("_top").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth")).filter("child <> ancestor")
+        nxt = s.write(c.df.unionByName(far).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+        s.drop(c)
+        c, now = nxt, (nxt.rows, size(nxt))
+        if now == was:
+            break
+        was = now
+    return c.df
+
+
+def ancestry(edges: DataFrame, child: str, parent: str, starts: DataFrame, start: str, most: int | None = None) -> DataFrame:
+    """``start, ancestor, depth``: everything the starts derive from, with the least number of steps, at most ``most`` if given.
 
     Breadth-first rounds over written tables; a pair seen before is not followed again, so loops end.
     """
@@ -171,7 +190,7 @@ def ancestry(edges: DataFrame, child: str, parent: str, starts: DataFrame, start
     front = s.write(starts.select(F.col(start).alias("start"), F.col(start).alias("ancestor"), F.lit(0).alias("depth")).dropna().distinct())
     seen = front
     depth = 0
-    while front.rows:
+    while front.rows and (most is None or depth < most):
         depth += 1
         step = front.df.join(e.df, F.col("ancestor") == F.col("_c")).select("start", F.col("_p").alias("ancestor")).distinct()
         nxt = s.write(step.join(seen.df.select("start", "ancestor"), ["start", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from skerry.operators.constraints import Field, problems
 
 _ARTIFACTS = "id string, type string, module string, version string, params string, inputs map<string,string>, tables map<string,bigint>, metrics map<string,double>, created_at double"
-_STEPS = "run_id string, step_index int, module string, params string, inputs map<string,string>, outputs map<string,string>, status string, cached boolean, error string, replay_of int, duration_s double, saved_at double"
+_STEPS = "run_id string, step_index int, module string, params string, inputs map<string,string>, outputs map<string,string>, status string, cached boolean, error string, replay_of int, duration_s double, saved_at double, step_key string"
 
 
 @dataclass(frozen=True)
@@ -140,10 +140,10 @@ class Engine:
         return (a.filter(F.col("type") == type) if type else a).orderBy("id")
 
     def steps(self, run_id: str | None = None) -> DataFrame:
-        """The log as saved last: one row per run and step."""
+        """The log, one row per run and step. Writers only append rows under keys of their own; steps are numbered on
+        reading, in order of saving, so two writers never take the same number."""
         s = self._read("steps", _STEPS)
-        w = Window.partitionBy("run_id", "step_index").orderBy(F.desc("saved_at"))
-        s = s.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+        s = s.withColumn("step_index", F.row_number().over(Window.partitionBy("run_id").orderBy("saved_at", "step_key")) - 1)
         return (s.filter(F.col("run_id") == run_id) if run_id else s).orderBy("run_id", "step_index")
 
     def artifact(self, id: str) -> dict[str, Any]:
@@ -212,8 +212,7 @@ class Engine:
             error = f"{type(e).__name__}: {e}"[:2000]
             raise
         finally:
-            last = self.steps(run_id).agg(F.max("step_index")).first()[0]
-            row = (run_id, 0 if last is None else last + 1, name, json.dumps(plan["params"], sort_keys=True), inputs, {} if error else ids, "failed" if error else "cached" if cached else "ok", cached, error, replay_of, time.time() - began, time.time())
+            row = (run_id, None, name, json.dumps(plan["params"], sort_keys=True), inputs, {} if error else ids, "failed" if error else "cached" if cached else "ok", cached, error, replay_of, time.time() - began, time.time(), uuid.uuid4().hex)
             self.spark.createDataFrame([row], _STEPS).coalesce(1).write.mode("append").parquet(f"{self.root}/steps")
         return ids
 

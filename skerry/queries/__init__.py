@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("hierarchy", "briefs", "tables", "graphs", "geometry", "records")
+MODULES = ("hierarchy", "briefs", "tables", "graphs", "geometry", "records", "lineage", "health")
 
 
 def queries() -> dict:

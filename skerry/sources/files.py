@@ -45,8 +45,8 @@ def depth_maps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ply_headers(spark: SparkSession, path: str) -> DataFrame:
-    """``path, format, vertices, properties`` from the head of each file."""
-    head = F.substring_index(F.substring(F.col("content"), 1, 65536).cast("string"), "end_header", 1)
+    """``path, format, vertices, properties`` from the head of each file, however long it is."""
+    head = F.substring_index(F.col("content").cast("string"), "end_header", 1)
     props = F.transform(F.regexp_extract_all(head, F.lit(r"property\s+(\w+)\s+(\w+)"), F.lit(2)), lambda x: x)
     return spark.read.format("binaryFile").load(path).select(
         "path",
