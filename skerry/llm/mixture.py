@@ -68,7 +68,7 @@ def budgets(targets: list[tuple[str, float, int]], sizes: dict[str, int], total:
     return out
 
 
-def mix(records: DataFrame, targets: DataFrame, source: str, item: str, size: str, total: float | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def mix(records: DataFrame, targets: DataFrame, source: str, item: str, size: str, total: float | str | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(records with ``copies``, report).
 
     Every record gets a random key, a hash of its item and the seed. Within each source records are range-sorted by that
@@ -76,6 +76,8 @@ def mix(records: DataFrame, targets: DataFrame, source: str, item: str, size: st
     is taken while its middle lies within, so the sum misses the budget by at most half a record. Whole epochs come before
     that cut and add one copy of every record each.
 
+    ``total`` is as in :func:`budgets`, or ``"available"``: as large as all records of sources with a target, each once.
+
     The report has one row per target: ``source, target_share, max_repeats, available, budget, taken, actual_share``; target
     and budget shares are of the whole mixture. Targets are few (one row per source, read by the driver); the number of
     records and the size of a source are unbounded.
@@ -92,7 +94,7 @@ def mix(records: DataFrame, targets: DataFrame, source: str, item: str, size: st
     rows = rows.filter(F.col("item").isNotNull() & (F.col("size") > 0) & F.col("source").isin(names)).groupBy("source", "item").agg(F.max("size").alias("size"))
     t = s.write(rows.withColumn("key", F.xxhash64("item", F.lit(seed))))
     sizes = {r[0]: int(r[1]) for r in t.df.groupBy("source").agg(F.sum("size")).collect()}
-    plan = budgets(want, sizes, total)
+    plan = budgets(want, sizes, float(sum(sizes.values())) if total == "available" else total)
     before, _ = running_totals(t.df, ["source"], ["key", "item"], "size", "before", s)
     cut = spark.createDataFrame([(b.source, b.epochs, b.rest) for b in plan], "source string, epochs int, rest double")
     j = before.join(F.broadcast(cut), "source")  # one row per target

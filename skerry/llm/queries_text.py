@@ -15,7 +15,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, total: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     docs = count_tokens(table(spark, sf_dir, "documents").select("doc_id", F.trim(F.lower("source")).alias("source"), "text"))
     return mix(docs, table(spark, sf_dir, "mix_targets"), "source", "doc_id", "n_tokens", total)
 
@@ -29,6 +29,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p7_available_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mixture as large as all sources with a target: scarce ones give all their repeats, others fill up."""
+    return _mixed(spark, sf_dir, "available")[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _areas(spark, sf_dir).select("doc_id", "subject")
 
@@ -42,5 +47,5 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _areas(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_available_shares": p7_available_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}

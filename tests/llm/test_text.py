@@ -80,6 +80,9 @@ def test_mixture(spark):
     again, _ = mix(df.repartition(2), want, "src", "id", "n")
     assert {(r.id, r.copies) for r in again.collect()} == {(r.id, r.copies) for r in got.values()}
     assert mix(df.limit(0), want, "src", "id", "n")[0].count() == 0
+    rep = {r.source: r for r in mix(df, want, "src", "id", "n", "available")[1].collect()}
+    whole = sum(r.available for r in rep.values())
+    assert sum(r.budget for r in rep.values()) == pytest.approx(whole, rel=1e-6) and rep["t"].taken == rep["t"].available and rep["s"].taken <= 4 * rep["s"].available
 
 
 def said(*texts):
