@@ -141,7 +141,8 @@ def cycle_rates(links: DataFrame, near: float = 2.0, far: float = 40.0) -> DataF
 
     ``links`` has ``scope, seq, i, j, fi, fj, xi, yi, xj, yj``; per (scope, i, j, fi) the last ``seq`` counts, either way
     round. A chain end within ``near`` of the direct end closes the cycle by another feature (split), one ``far`` or more
-    off merges two points; each triple counts in its three rotations. Returns ``chains, merged, split`` in one row.
+    off merges two points; each triple counts in its three rotations. Returns ``chains, merged, split`` and the two rates, null
+    without chains, in one row.
     """
     s = Scratch(links.sparkSession)
     back = links.select("scope", "seq", F.col("j").alias("i"), F.col("i").alias("j"), F.col("fj").alias("fi"), F.col("fi").alias("fj"), F.col("xj").alias("xi"), F.col("yj").alias("yi"), F.col("xi").alias("xj"), F.col("yi").alias("yj"))
@@ -154,7 +155,8 @@ def cycle_rates(links: DataFrame, near: float = 2.0, far: float = 40.0) -> DataF
     turn = "(a < b AND b < c) OR (c < a AND a < b) OR (b < c AND c < a)"
     chains = ab.join(bc, ["scope", "b", "fb"]).filter(turn).join(ac, ["scope", "a", "c", "fa"])
     off = F.hypot(F.col("xc") - F.col("xd"), F.col("yc") - F.col("yd"))
-    return chains.agg(F.count(F.lit(1)).alias("chains"), F.count_if((F.col("fc") != F.col("fd")) & (off >= far)).alias("merged"), F.count_if((F.col("fc") != F.col("fd")) & (off <= near)).alias("split"))
+    n = chains.agg(F.count(F.lit(1)).alias("chains"), F.count_if((F.col("fc") != F.col("fd")) & (off >= far)).alias("merged"), F.count_if((F.col("fc") != F.col("fd")) & (off <= near)).alias("split"))
+    return n.withColumn("merge_rate", F.try_divide("merged", "chains")).withColumn("split_rate", F.try_divide("split", "chains"))
 
 
 def leaves(produced: DataFrame, consumed: DataFrame, key: str) -> DataFrame:

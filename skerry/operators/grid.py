@@ -62,14 +62,15 @@ def nearest_within(queries: DataFrame, points: DataFrame, frame: Sequence[str],
 
 
 def proximity_edges(df: DataFrame, frame: Sequence[str], item: str, x: str, y: str, eps: float) -> DataFrame:
-    """Edges that link items in a common cell of one of four shifted grids, chained within a cell (one fewer than members).
+    """Edges that link items in a common cell of one of four grids of side ``eps``, shifted by half a side, chained within a
+    cell (one fewer than members).
 
-    Items within ``eps`` of each other always share a cell of side ``2 eps`` in one of the four grids.
+    Items within half of ``eps`` of each other in both axes always share a cell in one of the four grids.
     """
     from pyspark.sql import Window
 
-    frame, side = list(frame), 2 * eps
-    grids = F.explode(F.array(*[F.struct(F.lit(k).alias("g"), F.floor((F.col(x) + a) / side).alias("cx"), F.floor((F.col(y) + b) / side).alias("cy")) for k, (a, b) in enumerate([(0, 0), (eps, 0), (0, eps), (eps, eps)])]))
+    frame = list(frame)
+    grids = F.explode(F.array(*[F.struct(F.lit(k).alias("g"), F.floor(F.col(x) / eps + a).alias("cx"), F.floor(F.col(y) / eps + b).alias("cy")) for k, (a, b) in enumerate([(0, 0), (0.5, 0), (0, 0.5), (0.5, 0.5)])]))
     c = df.select(*frame, item, grids.alias("c")).select(*frame, item, "c.*")
     w = Window.partitionBy(*frame, "g", "cx", "cy").orderBy(item)
     return c.select(*frame, F.col(item).alias("src"), F.lead(item).over(w).alias("dst")).filter("dst IS NOT NULL AND src <> dst").distinct()

@@ -272,6 +272,8 @@ class Engine:
         first, remap, wanted = made[-1], {}, None
         if toward:
             wanted = {r["id"] for r in self.lineage(toward).select("id").collect()}
+            if from_artifact not in wanted:
+                raise ValueError(f"{toward} is not built from {from_artifact}")
         for r in [x for x in log if x["step_index"] >= first["step_index"]]:
             origin = r["step_index"] == first["step_index"]
             touched = any(i in remap for i in (r["inputs"] or {}).values())
@@ -284,9 +286,42 @@ class Engine:
             remap |= {old: new[s] for s, old in r["outputs"].items() if new[s] != old}
         return remap
 
-    def leaves(self, run_id: str) -> list[str]:
-        """Artifacts of a run that no later step takes."""
+    def leaves(self, run_id: str, ignore: Sequence[str] = ()) -> list[str]:
+        """Artifacts of a run that no step takes, in order of making and as often as they were made; modules in ``ignore`` (such as
+        verifications) do not count as takers."""
         s = self.steps(run_id)
-        out = s.filter("status <> 'failed'").select(F.explode(F.map_values("outputs")).alias("id"))
-        used = s.select(F.explode(F.map_values("inputs")).alias("id"))
-        return [r["id"] for r in out.distinct().join(used, "id", "left_anti").orderBy("id").collect()]
+        used = s.filter(~F.col("module").isin(list(ignore)) if ignore else F.lit(True)).select(F.explode(F.map_values("inputs")).alias("id")).distinct()
+        out = s.filter("status <> 'failed'").select("step_index", F.explode("outputs").alias("slot", "id"))
+        return [r["id"] for r in out.join(used, "id", "left_anti").orderBy("step_index", "slot").collect()]
+
+    def wire(self, name: str, current: dict[str, str], overrides: dict[str, str] | None = None) -> dict[str, str]:
+        """Inputs of an operator by type: each required slot takes the current artifact of its type, ``overrides`` come first.
+        Optional slots are filled by overrides only."""
+        op, given = self.ops[name], overrides or {}
+        auto = {s: current[t] for s, t in op.consumes.items() if s not in op.optional and t in current}
+        return auto | {s: i for s, i in given.items() if s in op.consumes}
+
+    def describe(self, name: str) -> dict[str, Any]:
+        """All that an operator declares, with its parameters as JSON Schema."""
+        op = self.ops[name]
+        return {
+            "name": op.name, "version": op.version, "kind": op.kind, "consumes": dict(op.consumes), "produces": dict(op.produces),
+            "optional": sorted(op.optional), "transform": bool(set(op.consumes.values()) & set(op.produces.values())), "params": self.param_schema(name),
+        }
+
+    def param_schema(self, name: str) -> dict[str, Any]:
+        props = {}
+        for p, spec in self.ops[name].params.items():
+            props[p] = {"type": spec.kind, "default": spec.default} | {k: v for k, v in (("minimum", spec.least), ("maximum", spec.most), ("enum", list(spec.choices) or None)) if v is not None}
+        return {"type": "object", "properties": props, "additionalProperties": False}
+
+    def summary(self, run_id: str, verifier: str | None = None) -> dict[str, Any]:
+        """Steps of a run by status, its leaves, and what the verifier's last step said of each leaf it read."""
+        steps = [r.asDict() for r in self.steps(run_id).collect()]  # the steps of one run
+        leaves = self.leaves(run_id, [verifier] if verifier else [])
+        verdicts = {i: "unverified" for i in leaves}
+        for r in steps:
+            if r["module"] == verifier:
+                verdicts |= {i: r["status"] for i in (r["inputs"] or {}).values() if i in verdicts}
+        count = {s: sum(r["status"] == s for r in steps) for s in ("ok", "cached", "failed")}
+        return {"steps": len(steps), **count, "leaves": leaves, "verdicts": verdicts}

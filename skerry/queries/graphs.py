@@ -129,12 +129,12 @@ def split_rate(spark: SparkSession, d: str) -> DataFrame:
     return R.split_rate(o, "user_id", "f", "value", "y", 0.3).withColumn("split_rate", F.round("split_rate", 6))
 
 
-@query("""WITH g AS (SELECT l_returnflag AS f, l_partkey AS id, floor((l_extendedprice / 100 + a) / 2) AS cx, floor((l_quantity + b) / 2) AS cy, a, b FROM lineitem, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) t(a, b)),
+@query("""WITH g AS (SELECT l_returnflag AS f, l_partkey AS id, floor(l_extendedprice / 100 / 2 + a) AS cx, floor(l_quantity / 2 + b) AS cy, a, b FROM lineitem, (VALUES (CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)), (0.5, 0), (0, 0.5), (0.5, 0.5)) t(a, b)),
 e AS (SELECT f, id AS src, lead(id) OVER (PARTITION BY f, a, b, cx, cy ORDER BY id) AS dst FROM g)
 SELECT DISTINCT f, src, dst FROM e WHERE dst IS NOT NULL AND src <> dst""")
 def proximity_edges(spark: SparkSession, d: str) -> DataFrame:
     l = T(spark, d, "lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_partkey").alias("id"), (F.col("l_extendedprice") / 100).alias("x"), F.col("l_quantity").alias("y"))
-    return R.proximity_edges(l, ["f"], "id", "x", "y", 1.0)
+    return R.proximity_edges(l, ["f"], "id", "x", "y", 2.0)
 
 
 @query("""WITH q AS (SELECT event_id, event_type, value AS x, epoch(ts) / 3600.0 AS y FROM events WHERE value IS NOT NULL),
@@ -154,10 +154,11 @@ b AS (SELECT scope, seq, i, j, fi, fj, x2 AS x, y2 AS y FROM m UNION ALL SELECT
 l AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY scope, i, j, fi ORDER BY seq DESC, fj DESC) = 1),
 c AS (SELECT sqrt((y.x - z.x) ** 2 + (y.y - z.y) ** 2) AS off, y.fj <> z.fj AS other FROM l x JOIN l y ON y.scope = x.scope AND y.i = x.j AND y.fi = x.fj JOIN l z ON z.scope = x.scope AND z.i = x.i AND z.j = y.j AND z.fi = x.fi
  WHERE (x.i < x.j AND x.j < y.j) OR (y.j < x.i AND x.i < x.j) OR (x.j < y.j AND y.j < x.i))
-SELECT CAST(count(*) AS BIGINT) AS chains, CAST(count(*) FILTER (other AND off >= 40) AS BIGINT) AS merged, CAST(count(*) FILTER (other AND off <= 2) AS BIGINT) AS split FROM c""")
+SELECT CAST(count(*) AS BIGINT) AS chains, CAST(count(*) FILTER (other AND off >= 40) AS BIGINT) AS merged, CAST(count(*) FILTER (other AND off <= 2) AS BIGINT) AS split,
+ CASE WHEN count(*) > 0 THEN round(count(*) FILTER (other AND off >= 40) / count(*), 8) END AS merge_rate, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (other AND off <= 2) / count(*), 8) END AS split_rate FROM c""")
 def cycle_rates(spark: SparkSession, d: str) -> DataFrame:
     m = _links(spark, d)
-    return G.cycle_rates(m.select("scope", F.col("match_idx").alias("seq"), F.col("image_i").alias("i"), F.col("image_j").alias("j"), F.col("feature_i").alias("fi"), F.col("feature_j").alias("fj"), *[F.col(c).cast("double").alias(n) for c, n in (("x1", "xi"), ("y1", "yi"), ("x2", "xj"), ("y2", "yj"))]))
+    return G.cycle_rates(m.select("scope", F.col("match_idx").alias("seq"), F.col("image_i").alias("i"), F.col("image_j").alias("j"), F.col("feature_i").alias("fi"), F.col("feature_j").alias("fj"), *[F.col(c).cast("double").alias(n) for c, n in (("x1", "xi"), ("y1", "yi"), ("x2", "xj"), ("y2", "yj"))])).withColumns({c: F.round(c, 8) for c in ("merge_rate", "split_rate")})
 
 
 @query("""WITH RECURSIVE e AS (SELECT o_orderkey AS c, o_orderkey // 2 AS p FROM orders WHERE o_orderkey > 0),

@@ -167,7 +167,9 @@ def last_events(spark: SparkSession, d: str) -> DataFrame:
     return S.last_n(T(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 4)
 
 
-@query("""SELECT c.c_nationkey AS a, s.s_nationkey AS b, CAST(count(*) AS BIGINT) AS edges FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) e JOIN customer c ON c_custkey = o_custkey JOIN supplier s ON s_suppkey = l_suppkey WHERE c.c_nationkey <> s.s_nationkey GROUP BY ALL""".replace("c.c_nationkey AS a, s.s_nationkey AS b", 'least(c.c_nationkey, s.s_nationkey) AS "left", greatest(c.c_nationkey, s.s_nationkey) AS "right"'))
+@query("""WITH e AS (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT least(c.c_nationkey, s.s_nationkey) AS "left", greatest(c.c_nationkey, s.s_nationkey) AS "right", CAST(count(*) AS BIGINT) AS edges
+FROM e JOIN customer c ON c_custkey = o_custkey JOIN supplier s ON s_suppkey = l_suppkey WHERE c.c_nationkey <> s.s_nationkey GROUP BY ALL""")
 def bridges(spark: SparkSession, d: str) -> DataFrame:
     """Trade between customers and suppliers of different nations, as edges across labels."""
     e = T(spark, d, "orders").join(T(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + (1 << 40)).alias("dst")).distinct()

@@ -30,8 +30,8 @@ def _r(df: DataFrame, **places: int) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), p) for c, p in places.items()})
 
 
-@query("""SELECT c_custkey, o_orderpriority, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer
-CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) LEFT JOIN orders o ON o.o_custkey = c_custkey AND o.o_orderpriority = orders.o_orderpriority GROUP BY ALL""".replace("orders.o_orderpriority GROUP", "p.o_orderpriority GROUP").replace("(SELECT DISTINCT o_orderpriority FROM orders)", "(SELECT DISTINCT o_orderpriority FROM orders) p").replace("SELECT c_custkey, o_orderpriority,", "SELECT c_custkey, p.o_orderpriority AS o_orderpriority,"))
+@query("""SELECT c_custkey, p.o_orderpriority AS o_orderpriority, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer
+CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p LEFT JOIN orders o ON o.o_custkey = c_custkey AND o.o_orderpriority = p.o_orderpriority GROUP BY ALL""")
 def zero_fill_counts(spark: SparkSession, d: str) -> DataFrame:
     o = T(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
     domain = T(spark, d, "customer").select("c_custkey").join(F.broadcast(o.select("o_orderpriority").distinct()))  # five priorities
@@ -88,8 +88,8 @@ def support_buckets(spark: SparkSession, d: str) -> DataFrame:
     return _r(A.by_support(o, "n", "v"), median=6)
 
 
-@query("""WITH e AS (SELECT l_partkey % 1000000 AS member, l_extendedprice AS v FROM lineitem UNION ALL SELECT l_suppkey, l_extendedprice FROM lineitem)
-SELECT member, CAST(count(*) AS BIGINT) AS pairs, max(v) AS worst, round(median(v), 4) AS median FROM e GROUP BY 1""".replace(" % 1000000", ""))
+@query("""WITH e AS (SELECT l_partkey AS member, l_extendedprice AS v FROM lineitem UNION ALL SELECT l_suppkey, l_extendedprice FROM lineitem)
+SELECT member, CAST(count(*) AS BIGINT) AS pairs, max(v) AS worst, round(median(v), 4) AS median FROM e GROUP BY 1""")
 def both_ends_rollup(spark: SparkSession, d: str) -> DataFrame:
     return _r(A.both_ends_rollup(T(spark, d, "lineitem"), "l_partkey", "l_suppkey", "l_extendedprice"), median=4)
 
@@ -134,8 +134,9 @@ def ranking_tally(spark: SparkSession, d: str) -> DataFrame:
     return A.ranking_tally(c.select("comparison_id", "leg_id", gap("gt_rot"), gap("registration"), gap("coverage")), "comparison_id", "leg_id", "gt_rot", ["registration", "coverage"])
 
 
-@query("""WITH p AS (SELECT c_custkey, 100 * percent_rank() OVER (ORDER BY c_acctbal) AS balance, 100 * percent_rank() OVER (ORDER BY c_nationkey) AS nation FROM customer)
-SELECT c_custkey, CASE WHEN balance <= nation THEN 'balance' ELSE 'nation' END AS weakest, round(least(balance, nation), 6) AS pct FROM p""".replace("100 * percent_rank() OVER (ORDER BY c_acctbal)", "100 * (rank() OVER (ORDER BY c_acctbal) - 1 + 0.5 * count(*) OVER (PARTITION BY c_acctbal)) / count(*) OVER ()").replace("100 * percent_rank() OVER (ORDER BY c_nationkey)", "100 * (rank() OVER (ORDER BY c_nationkey) - 1 + 0.5 * count(*) OVER (PARTITION BY c_nationkey)) / count(*) OVER ()"))
+@query("""WITH p AS (SELECT c_custkey, 100 * (rank() OVER (ORDER BY c_acctbal) - 1 + 0.5 * count(*) OVER (PARTITION BY c_acctbal)) / count(*) OVER () AS balance,
+ 100 * (rank() OVER (ORDER BY c_nationkey) - 1 + 0.5 * count(*) OVER (PARTITION BY c_nationkey)) / count(*) OVER () AS nation FROM customer)
+SELECT c_custkey, CASE WHEN balance <= nation THEN 'balance' ELSE 'nation' END AS weakest, round(least(balance, nation), 6) AS pct FROM p""")
 def weakest_rung(spark: SparkSession, d: str) -> DataFrame:
     c = T(spark, d, "customer").withColumn("one", F.lit(1))
     a = A.mid_rank_percentile(c, ["one"], "c_custkey", "c_acctbal", out="balance").select("c_custkey", "balance")

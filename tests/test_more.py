@@ -124,3 +124,25 @@ def test_small_rows(spark):
     images = spark.createDataFrame([("a", 4), ("b", 1), ("c", None)], "s string, n int")
     assert rows(M.band_pairs(images, "n", ["s"], 1)) == [("a", 0, 1), ("a", 1, 2), ("a", 2, 3)] and M.band_pairs(images, "n", ["s"]).count() == 6
     assert rows(M.stride_pairs(images, "n", 2, ["s"])) == [("a", 0, 2), ("a", 1, 3)]
+
+
+def test_engine_questions(spark, tmp_path):
+    from skerry.operators import constraints as K
+    from skerry.plans.engine import Engine, Operator, Param, TypeSpec
+
+    e = Engine(spark, str(tmp_path))
+    e.add_type(TypeSpec("n/v1", {"t": [K.Field("id", "int")]}))
+    run = lambda ins, p: {"out": {"t": spark.range(p["n"])}}
+    e.register(Operator("Make", "1", {}, {"out": "n/v1"}, run, {"n": Param("integer", 2, 1, 9, (1, 2, 3))}))
+    e.register(Operator("Check", "1", {"a": "n/v1", "b": "n/v1"}, {"out": "n/v1"}, lambda ins, p: {"out": ins["a"]}, optional=frozenset({"b"})))
+    x = e.run("Make", "r", {})["out"]
+    assert e.wire("Check", {"n/v1": x}) == {"a": x} and e.wire("Check", {"n/v1": "y"}, {"a": x, "b": "z", "c": "q"}) == {"a": x, "b": "z"}
+    y = e.run("Check", "r", {"a": x})["out"]
+    z = e.run("Make", "r", {}, {"n": 3})["out"]
+    assert e.leaves("r") == [y, z] and e.leaves("r", ["Check"]) == [x, y, z]
+    s = e.summary("r", "Check")
+    assert (s["steps"], s["ok"], s["failed"]) == (3, 3, 0) and s["verdicts"] == {x: "ok", y: "unverified", z: "unverified"}
+    d = e.describe("Make")
+    assert d["params"]["properties"]["n"] == {"type": "integer", "default": 2, "minimum": 1, "maximum": 9, "enum": [1, 2, 3]} and not d["transform"] and e.describe("Check")["transform"]
+    with pytest.raises(ValueError):
+        e.replay("r", x, {"n": 1}, toward=z)
