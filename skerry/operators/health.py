@@ -141,8 +141,9 @@ def two_estimators(model: DataFrame, one: DataFrame, two: DataFrame) -> DataFram
     """``scope, form, versus_one, versus_two, mutual, ratio, fires``: a model's disagreement with two estimators over that
     between them, by rotation and by centre; fires from ``FIRE_LEVEL``, null where the estimators give no spread."""
     out = None
-    for form, measure, c in (("rotation", rotation_agreement, "median_deg"), ("centre", centre_agreement, "median_of_span")):
-        parts = [measure(x, y).select("scope", F.col(c).alias(n)) for x, y, n in ((model, one, "versus_one"), (model, two, "versus_two"), (one, two, "mutual"))]
+    # angles below 1e-4 degrees are rounding noise of the arc cosine
+    for form, measure, c, places in (("rotation", rotation_agreement, "median_deg", 4), ("centre", centre_agreement, "median_of_span", 6)):
+        parts = [measure(x, y).select("scope", F.round(c, places).alias(n)) for x, y, n in ((model, one, "versus_one"), (model, two, "versus_two"), (one, two, "mutual"))]
         j = parts[0].join(parts[1], "scope", "full").join(parts[2], "scope", "full").withColumn("form", F.lit(form))
         out = j if out is None else out.unionByName(j)
     n = F.col("versus_one").isNotNull().cast("int") + F.col("versus_two").isNotNull().cast("int")

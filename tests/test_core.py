@@ -334,7 +334,7 @@ def test_engine(spark, tmp_path):
     assert e.load(new, "points").count() == 5 and e.load(p, "points").count() == 3
     assert [tuple(r)[:3] for r in e.compare([p, new]).collect()] == [("points_rows", 3.0, 5.0)]
     assert {r.module for r in e.lineage(new).collect()} == {"Scene", "Points"} and e.diverge(p, new).count() == 2
-    assert e.leaves("r") == [p, p, new]
+    assert e.leaves("r") == [p, p, new, new]
     assert [r.name for r in e.find(consumes="scene/v1").collect()] == ["Points"] and [r.name for r in e.successors("Scene").collect()] == ["Points"]
     assert [r.type for r in e.orphans().collect()] == ["points/v1"]
 
