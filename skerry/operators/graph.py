@@ -182,20 +182,86 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     return c.df
 
 
+#: Ancestors that a row of :func:`_walks` holds.
+_CHAIN = 8
+
+
+def _walks(e: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Ancestors of all nodes where no node has two parents: ``_c, _up`` (the nearest ``_CHAIN`` ancestors of each node) and
+    ``_c, _at, _off`` (the ancestor at every further multiple of ``_CHAIN``, from which its own row leads on), both by doubling;
+    last the nodes ``_c`` whose way runs into a loop, if any: what the first two say of these repeats itself.
+
+    Of the nodes with ``n`` ancestors or more some have exactly ``n`` unless they run into a loop, so if none ends in a
+    doubling, all that are left do.
+    """
+    up = s.write(e.select("_c", F.array("_p").alias("_up")))
+    n = 1
+    while n < _CHAIN:
+        far = up.df.select(F.col("_c").alias("_at"), F.col("_up").alias("_far")).hint("merge")
+        on = up.df.filter(F.size("_up") == n).withColumn("_at", F.element_at("_up", n)).join(far, "_at", "left")
+        nxt = s.write(on.select("_c", F.when(F.col("_far").isNull(), F.col("_up")).otherwise(F.concat("_up", "_far")).alias("_up")).unionByName(up.df.filter(F.size("_up") < n)))
+        s.drop(up)
+        up, n = nxt, 2 * n
+    jump = s.write(up.df.filter(F.size("_up") == n).select("_c", F.element_at("_up", n).alias("_at")))
+    hops, loops = jump.df.withColumn("_off", F.lit(n)), None
+    while jump.rows:
+        n *= 2
+        far = jump.df.select(F.col("_c").alias("_at"), F.col("_at").alias("_far")).hint("merge")
+        nxt = s.write(jump.df.join(far, "_at").select("_c", F.col("_far").alias("_at")))
+        if nxt.rows == jump.rows:
+            loops = nxt.df.select("_c")
+            break
+        if nxt.rows:
+            on = hops.select(F.col("_c").alias("_at"), F.col("_at").alias("_far"), "_off").hint("merge")
+            more = s.write(nxt.df.join(on, "_at").select("_c", F.col("_far").alias("_at"), (F.col("_off") + n).alias("_off")))
+            hops = hops.unionByName(nxt.df.withColumn("_off", F.lit(n)))
+            hops = hops.unionByName(more.df) if more.rows else hops
+        jump = nxt
+    return up.df, hops, loops
+
+
 def ancestry(edges: DataFrame, child: str, parent: str, starts: DataFrame, start: str, most: int | None = None) -> DataFrame:
     """``start, ancestor, depth``: everything the starts derive from, with the least number of steps, at most ``most`` if given.
 
-    Breadth-first rounds over written tables; a pair seen before is not followed again, so loops end.
+    Where no node has two parents and half of the nodes or more are starts, the ways up are found by doubling, and the pairs are not
+    written out. Else, and for starts whose way runs into a loop, breadth-first rounds over written tables; a pair seen before
+    is not followed again, so loops end. No table is broadcast: the size of its files, by which Spark would choose, is far below
+    that of its rows.
     """
     s = Scratch(edges.sparkSession)
-    e = s.write(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).dropna().distinct())
-    front = s.write(starts.select(F.col(start).alias("start"), F.col(start).alias("ancestor"), F.lit(0).alias("depth")).dropna().distinct())
+    e = s.write(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).dropna().distinct().filter("_c <> _p"))
+    first = starts.select(F.col(start).alias("start")).dropna().distinct()
+    if most is not None or not e.rows:
+        return _rounds(e.df, first, most, s)
+    first = s.write(first).df
+    asked = first.select(F.col("start").alias("_c"), F.lit(True).alias("_s")).hint("merge")
+    parents, nodes = e.df.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).join(asked, "_c", "left").agg(F.max("_n"), F.count("_s")).first()
+    if parents > 1 or 2 * nodes < e.rows:
+        return _rounds(e.df, first, most, s)
+    up, hops, loops = _walks(e.df, s)
+    near, far = up.withColumn("_off", F.lit(0)), hops
+    for other, how in ((asked if nodes < e.rows else None, "left_semi"), (loops, "left_anti")):
+        if other is not None:
+            near, far = (x.join(other.hint("merge"), "_c", how) for x in (near, far))
+    far = far.join(up.withColumnRenamed("_c", "_at").hint("merge"), "_at")
+    out = near.select("_c", "_off", "_up").unionByName(far.select("_c", "_off", "_up"))
+    out = out.select(F.col("_c").alias("start"), "_off", F.posexplode("_up").alias("_i", "ancestor")).select("start", "ancestor", (F.col("_off") + F.col("_i") + 1).alias("depth"))
+    if loops is None:
+        return out
+    turning = first.join(loops.withColumnRenamed("_c", "start").hint("merge"), "start", "left_semi")
+    return out.unionByName(_rounds(e.df.join(loops.hint("merge"), "_c", "left_semi"), turning, most, s))
+
+
+def _rounds(e: DataFrame, starts: DataFrame, most: int | None, s: Scratch) -> DataFrame:
+    """:func:`ancestry` by breadth-first rounds: ``e(_c, _p)`` and ``starts(start)``, distinct and without nulls."""
+    e = s.keep(e).df.hint("merge")
+    front = s.write(starts.select("start", F.col("start").alias("ancestor"), F.lit(0).alias("depth")))
     seen = front
     depth = 0
     while front.rows and (most is None or depth < most):
         depth += 1
-        step = front.df.join(e.df, F.col("ancestor") == F.col("_c")).select("start", F.col("_p").alias("ancestor")).distinct()
-        nxt = s.write(step.join(seen.df.select("start", "ancestor"), ["start", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = front.df.join(e, F.col("ancestor") == F.col("_c")).select("start", F.col("_p").alias("ancestor")).distinct()
+        nxt = s.write(step.join(seen.df.select("start", "ancestor").hint("merge"), ["start", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if nxt.rows:
             all_ = s.write(seen.df.unionByName(nxt.df))
             if seen is not front:

@@ -146,3 +146,62 @@ def test_engine_questions(spark, tmp_path):
     assert d["params"]["properties"]["n"] == {"type": "integer", "default": 2, "minimum": 1, "maximum": 9, "enum": [1, 2, 3]} and not d["transform"] and e.describe("Check")["transform"]
     with pytest.raises(ValueError):
         e.replay("r", x, {"n": 1}, toward=z)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Tables above 8 KB can't be broadcast, as ones of some 100 MB can't on a small driver."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 8 << 10)
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def _above(e, starts):
+    want = {}
+    up = {}
+    for a, b in e:
+        up.setdefault(a, set()).add(b)
+    for s in starts:
+        front, depth, seen = {s}, 0, {s}
+        while front:
+            depth += 1
+            front = {b for a in front for b in up.get(a, ())} - seen
+            seen |= front
+            want |= {(s, b): depth for b in front}
+    return want
+
+
+def test_ancestry_without_broadcast(spark, no_broadcast):
+    def check(e, starts, most=None):
+        got = G.ancestry(spark.createDataFrame([*e, (None, 1), (1, None)], "a int, b int"), "a", "b", spark.createDataFrame([(x,) for x in [*starts, None, *starts]], "s int"), "s", most)
+        assert got.schema.simpleString() == "struct<start:int,ancestor:int,depth:int>"
+        got = [((r.start, r.ancestor), r.depth) for r in got.collect()]
+        want = {k: d for k, d in _above(e, starts).items() if most is None or d <= most}
+        assert len(got) == len(want) and dict(got) == want
+
+    rnd = random.Random(11)
+    tree = {(i, i // 2) for i in range(1, 1500)}
+    deep = {(i, i - 1 - rnd.randrange(min(i, 3))) for i in range(1, 90)}  # 40 and more steps
+    turns = {(2000, 2001), (2001, 2002), (2002, 2000), (2003, 2002), (2004, 2003), (7000, 7000), (2005, 2005), (3, 3), (2010, 2011), (2011, 2010)}
+    check(tree, range(1500))
+    check({(i + 3000, p + 3000) for i, p in deep} | tree, range(4000))
+    check({(i + 3000, p + 3000) for i, p in deep} | turns, [*range(3000, 3200, 2), *range(2000, 2012), 3001, 5])
+    check({(i, i - 1) for i in range(1, 70)} | turns - {(3, 3)}, range(2100))
+    check({(i, rnd.randrange(i)) for i in range(1, 400) for _ in range(2)} | turns, range(400))
+    check(tree, [5, 999, 1498])
+    check(tree, range(1500), 3)
+    check({(2000, 2001), (2001, 2000)}, [2000, 2001])
+    check(set(), [1, 2])
+
+
+def test_ancestry_rounds_of_the_query(spark, no_broadcast):
+    """The query's own rows, of 1,500 orders, on a driver that can't hold their table."""
+    from skerry.queries import graphs
+
+    got = {r.ancestor: (r.below, r.deepest) for r in graphs.QUERIES["ancestry"](spark, "/root/testdata/sf0.001").collect()}
+    n = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    want = {}
+    for (_, b), d in _above({(i, i // 2) for i in range(1, n)}, range(n)).items():
+        k, top = want.get(b, (0, 0))
+        want[b] = (k + 1, max(top, d))
+    assert got == want
