@@ -150,7 +150,7 @@ def test_engine_questions(spark, tmp_path):
 
 @pytest.fixture
 def no_broadcast(spark):
-    """Tables above 8 KB can't be broadcast, as ones of some 100 MB can't on a small driver."""
+    """No table can be broadcast (a hash table takes 1 MB), as ones of some 100 MB can't on a small driver."""
     spark.conf.set("spark.sql.maxBroadcastTableSize", 8 << 10)
     yield
     spark.conf.unset("spark.sql.maxBroadcastTableSize")
@@ -205,3 +205,26 @@ def test_ancestry_rounds_of_the_query(spark, no_broadcast):
         k, top = want.get(b, (0, 0))
         want[b] = (k + 1, max(top, d))
     assert got == want
+
+
+@pytest.fixture
+def small_broadcast(spark):
+    """A hash table of 1 MB, the least there is, can be broadcast; that of 20,000 points can't."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 1100 << 10)
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def _same_as_sql(spark, name, d="/root/testdata/sf0.1"):
+    duckdb = pytest.importorskip("duckdb")
+    from skerry.queries import geometry
+
+    db = duckdb.connect()
+    for t in ("part", "nation"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    want = db.sql(geometry.SQL[name])
+    assert rows(geometry.QUERIES[name](spark, d).select(*want.columns)) == sorted(want.fetchall(), key=repr)
+
+
+def test_reprojection_without_broadcast(spark, small_broadcast):
+    _same_as_sql(spark, "reprojection")
