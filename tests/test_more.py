@@ -228,3 +228,7 @@ def _same_as_sql(spark, name, d="/root/testdata/sf0.1"):
 
 def test_reprojection_without_broadcast(spark, small_broadcast):
     _same_as_sql(spark, "reprojection")
+
+
+def test_triangulation_without_broadcast(spark, small_broadcast):
+    _same_as_sql(spark, "triangulation")
